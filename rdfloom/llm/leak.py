@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rdfloom.llm.fm_index import FMIndex
-from rdfloom.llm.textvec import Words
+from rdfloom.llm.textvec import Words, distinct
 
 LEAST, TOLERANCE = 16, 10
 #: Hyphens at line ends inside words, and marks of no width.
@@ -134,7 +134,7 @@ def scan_shard(items: Items, codes: np.ndarray, document: np.ndarray, least: int
     doc = document[place]
     width = items.words.shape[1]
     size = len(codes) + width
-    key = np.unique((doc * len(items.ids) + item) * size + (place - offset + width))
+    key = distinct((doc * len(items.ids) + item) * size + (place - offset + width))
     candidates = np.stack([key // size // len(items.ids), key // size % len(items.ids), key % size - width], 1)
     padded = np.concatenate([np.zeros(width, np.int64), codes, np.zeros(2 * width, np.int64)])
     owner = np.concatenate([np.full(width, -1), document, np.full(2 * width, -1)])

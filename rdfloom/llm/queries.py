@@ -5,10 +5,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rdfloom.llm import leak
+from rdfloom.llm import langid, language_cases, leak, pairs
 from rdfloom.session import table
 
 
+def _language_model(spark: SparkSession, sf_dir: str) -> langid.LanguageModel:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    examples = table(spark, sf_dir, "examples", "example_id", "target", "lang")
+    return langid.fit_sample(
+        [(documents, "doc_id", "text", langid.label_code(F.col("lang"))), (examples, "example_id", "target", langid.label_code(F.col("lang")))]
+    )
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    examples = language_cases.labelled_texts(
+        table(spark, sf_dir, "examples", "example_id", "target", "lang", "prompt"), "examples", "example_id", "target", "lang", F.col("prompt")
+    )
+    cases = language_cases.labelled_texts(
+        table(spark, sf_dir, "cases", "case_id", "target_text", "language"), "cases", "case_id", "target_text", "language"
+    )
+    return examples.unionByName(cases)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_table, row_key, lang): texts with a missing or wrong label, one row per language truly in the text."""
+    return language_cases.wrong_labels(_labelled(spark, sf_dir), _language_model(spark, sf_dir)).drop("confidence")
+
+
+def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment of running text with its language and confidence."""
+    return language_cases.segment_languages(_labelled(spark, sf_dir), _language_model(spark, sf_dir))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "examples", "example_id", "prompt", "target", "split", "bucket", "xml_file", "eid").withColumnRenamed("example_id", "id")
+
+
+def _pair_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = _pairs(spark, sf_dir)
+    model = pairs.fit_sample(frame, ["split", "bucket", "xml_file", "eid"], _language_model(spark, sf_dir))
+    return pairs.flag_defects(frame, model).withColumnRenamed("id", "example_id")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(example_id, defect): broken pairs of prompt and target."""
+    return _pair_defects(spark, sf_dir).drop("confidence")
+
+
+def p6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(example_id, defect, confidence): broken pairs with the classifier's probability."""
+    return _pair_defects(spark, sf_dir)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id): documents that hold a passage of an evaluation item."""
     return leak.leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "text"))
@@ -21,5 +69,12 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(counts, "item_id", "left").withColumn("documents", F.coalesce("documents", F.lit(0).cast("bigint")))
 
 
-QUERIES = {"p8_found": p8_found, "p8_items": p8_items}
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_segments": p2_segments,
+    "p6_found": p6_found,
+    "p6_scores": p6_scores,
+    "p8_found": p8_found,
+    "p8_items": p8_items,
+}
 ORACLE: dict[str, str] = {}

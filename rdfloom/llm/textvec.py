@@ -18,20 +18,21 @@ A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 LONGEST = 64
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tables() -> tuple[np.ndarray, ...]:
     fold, kind, cased = np.arange(TOP + 1, dtype=np.uint32), np.zeros(TOP + 1, np.uint8), np.zeros(TOP + 1, np.uint8)
+    lower = fold.copy()
     for i in range(TOP):
         c = chr(i)
         low = c.lower()[0]
         base = unicodedata.normalize("NFD", low)[0]
-        fold[i] = ord(base)
+        fold[i], lower[i] = ord(base), ord(low)
         kind[i] = 1 if c.isalpha() else 2 if c.isdecimal() else 0
         cased[i] = c.isupper()
     kind[TOP] = 1
-    return fold, kind, cased
+    return fold, kind, cased, lower
 
 
-FOLD, KIND, UPPER = _tables()
+FOLD, KIND, UPPER, LOWER = _tables()
 POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(LONGEST - 1, B)]), dtype=np.uint64)
 
 
@@ -72,6 +73,12 @@ def hash_runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(np.add.reduceat(terms, np.concatenate([[0], np.cumsum(lengths)[:-1]])) + lengths.astype(np.uint64) * A)
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorting beats hashing for integer keys."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
 class Words:
     """Words of a batch: runs of letters and digits, without case and accents."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rdfloom.llm import langid, language_cases, leak, pairs
+from rdfloom.llm import abuse, langid, language_cases, leak, pairs
 from rdfloom.session import table
 
 
@@ -69,6 +69,27 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(counts, "item_id", "left").withColumn("documents", F.coalesce("documents", F.lit(0).cast("bigint")))
 
 
+def _abuse_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, abuse.AbuseModel]:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    model = abuse.fit_sample(documents, table(spark, sf_dir, "review_labels", "doc_id", "label"))
+    return abuse.score_documents(documents, model, "source"), model
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, kind): kinds of abusive, hateful or sexual language in each document."""
+    return abuse.kinds_found(*_abuse_scores(spark, sf_dir))
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, abusive, hateful, sexual): a score per kind for every document."""
+    return _abuse_scores(spark, sf_dir)[0]
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each source, and how many of them hold each kind."""
+    return abuse.source_rates(*_abuse_scores(spark, sf_dir))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_segments": p2_segments,
@@ -76,5 +97,8 @@ QUERIES = {
     "p6_scores": p6_scores,
     "p8_found": p8_found,
     "p8_items": p8_items,
+    "p9_found": p9_found,
+    "p9_scores": p9_scores,
+    "p9_rates": p9_rates,
 }
 ORACLE: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rdfloom.llm import abuse, langid, language_cases, leak, pairs
+from rdfloom.llm import abuse, langid, language_cases, leak, pairs, sentence_align
 from rdfloom.session import table
 
 
@@ -37,6 +37,20 @@ def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_cases.segment_languages(_labelled(spark, sf_dir), _language_model(spark, sf_dir))
 
 
+def p3_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(case_id, english_pos, target_pos, gain): sentences that render each other, with the evidence."""
+    cases = table(spark, sf_dir, "cases").select(
+        F.col("case_id").alias("id"), F.col("english_text").alias("source"), F.col("target_text").alias("target")
+    )
+    found = sentence_align.align(cases, sentence_align.learn_sample(cases))
+    return found.select(F.col("id").alias("case_id"), F.col("source_pos").alias("english_pos"), "target_pos", "gain")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(case_id, english_pos, target_pos): sentences that render each other."""
+    return p3_aligned(spark, sf_dir).drop("gain")
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "examples", "example_id", "prompt", "target", "split", "bucket", "xml_file", "eid").withColumnRenamed("example_id", "id")
 
@@ -93,6 +107,8 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_segments": p2_segments,
+    "p3_found": p3_found,
+    "p3_aligned": p3_aligned,
     "p6_found": p6_found,
     "p6_scores": p6_scores,
     "p8_found": p8_found,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rdfloom.llm import abuse, langid, language_cases, leak, pairs, sentence_align
+from rdfloom.llm import abuse, langid, language_cases, leak, pairs, sentence_align, split_overlap
 from rdfloom.session import table
 
 
@@ -51,6 +51,27 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_aligned(spark, sf_dir).drop("gain")
 
 
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_overlap.overlaps(table(spark, sf_dir, "examples", F.col("example_id").alias("id"), "split", "triples", "target"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(example_id_1, example_id_2): overlapping pairs of a training and an evaluation record, smaller id first."""
+    found = _overlaps(spark, sf_dir)
+    return found.select(F.least("train_id", "eval_id").alias("example_id_1"), F.greatest("train_id", "eval_id").alias("example_id_2"))
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(split, xml_file, records, overlapping, links): evaluation records of each split and file, how many overlap with training, and with how many records."""
+    records = table(spark, sf_dir, "examples", F.col("example_id").alias("eval_id"), "split", "xml_file").where(F.lower(F.trim("split")) != "train").dropDuplicates(["eval_id"])
+    links = _overlaps(spark, sf_dir).groupBy("eval_id").agg(F.count("*").alias("links"))
+    return (
+        records.join(links, "eval_id", "left")
+        .groupBy("split", "xml_file")
+        .agg(F.count("*").alias("records"), F.count("links").alias("overlapping"), F.coalesce(F.sum("links"), F.lit(0)).cast("bigint").alias("links"))
+    )
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "examples", "example_id", "prompt", "target", "split", "bucket", "xml_file", "eid").withColumnRenamed("example_id", "id")
 
@@ -109,6 +130,8 @@ QUERIES = {
     "p2_segments": p2_segments,
     "p3_found": p3_found,
     "p3_aligned": p3_aligned,
+    "p5_found": p5_found,
+    "p5_report": p5_report,
     "p6_found": p6_found,
     "p6_scores": p6_scores,
     "p8_found": p8_found,

@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rdfloom.llm import abuse, langid, language_cases, leak, pairs, sentence_align, split_overlap
+from rdfloom.llm import abuse, langid, language_cases, leak, packing, pairs, quota_flow, sentence_align, split_overlap
 from rdfloom.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(plan, subqa, language, automatic_risk): strata with fewer cases than required."""
+    found = quota_flow.quotas(table(spark, sf_dir, "cases"), table(spark, sf_dir, "sampling_targets"))
+    return found.where("shortfall > 0").select("plan", "subqa", "language", "automatic_risk")
+
+
+def p1_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stratum's requirement, availability, quota and shortfall."""
+    return quota_flow.quotas(table(spark, sf_dir, "cases"), table(spark, sf_dir, "sampling_targets"))
+
+
+def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(plan, subqa, language, automatic_risk, case_id): the sample of every plan."""
+    return quota_flow.draw(table(spark, sf_dir, "cases"), table(spark, sf_dir, "sampling_targets"))
+
+
 def _language_model(spark: SparkSession, sf_dir: str) -> langid.LanguageModel:
     documents = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     examples = table(spark, sf_dir, "examples", "example_id", "target", "lang")
@@ -92,6 +108,19 @@ def p6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pair_defects(spark, sf_dir)
 
 
+def p7_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(container_kind, container_id, doc_id, piece, tokens): every document in a container of each kind."""
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text", "n_tokens"), table(spark, sf_dir, "containers"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(container_kind, containers, tokens, capacity_tokens, fill): how full the containers of each kind are."""
+    kinds = table(spark, sf_dir, "containers").dropDuplicates(["container_kind"])
+    used = p7_assign(spark, sf_dir).groupBy("container_kind", "container_id").agg(F.sum("tokens").alias("tokens"))
+    total = used.groupBy("container_kind").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"))
+    return total.join(kinds, "container_kind").withColumn("fill", F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id): documents that hold a passage of an evaluation item."""
     return leak.leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "text"))
@@ -126,6 +155,9 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_quotas": p1_quotas,
+    "p1_sample": p1_sample,
     "p2_found": p2_found,
     "p2_segments": p2_segments,
     "p3_found": p3_found,
@@ -134,10 +166,23 @@ QUERIES = {
     "p5_report": p5_report,
     "p6_found": p6_found,
     "p6_scores": p6_scores,
+    "p7_assign": p7_assign,
+    "p7_fill": p7_fill,
     "p8_found": p8_found,
     "p8_items": p8_items,
     "p9_found": p9_found,
     "p9_scores": p9_scores,
     "p9_rates": p9_rates,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p1_found": """
+with c as (
+  select distinct case_id, upper(regexp_replace(subqa, '[\\s\u00a0]+', '', 'g')) as k1, upper(regexp_replace(language, '[\\s\u00a0]+', '', 'g')) as k2,
+         upper(regexp_replace(automatic_risk, '[\\s\u00a0]+', '', 'g')) as k3
+  from cases where case_id is not null),
+n as (select k1, k2, k3, count(distinct case_id) as available from c where k1 <> '' and k2 <> '' and k3 <> '' group by 1, 2, 3),
+t as (select distinct plan, subqa, language, automatic_risk, greatest(coalesce(min_rows, 0), floor(coalesce(target_share * sample_size, 0) + 0.5 + 1e-9)) as required from sampling_targets)
+select plan, subqa, language, automatic_risk
+from t left join n on k1 = upper(regexp_replace(subqa, '\\s+', '', 'g')) and k2 = upper(regexp_replace(language, '\\s+', '', 'g')) and k3 = upper(regexp_replace(automatic_risk, '\\s+', '', 'g'))
+where coalesce(available, 0) < required""",
+}

@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rdfloom.llm import abuse_seeds as seeds
-from rdfloom.llm.textvec import FOLD, KIND, chunks, codes_of, hash_runs, mix, word_spans
+from rdfloom.llm.textvec import FOLD, KIND, chunks, codes_of, distinct, hash_runs, mix, word_spans
 
 KINDS = ("abusive", "hateful", "sexual")
 BITS = 18
 #: At most so many labelled documents, and so many without a label, take part in the fit.
-LABELLED, BACKGROUND = 4_000, 300
+LABELLED, BACKGROUND = 2_500, 300
+#: Only so many characters of such a document take part in the fit.
+FIT_CHARACTERS = 6_000
 #: Learning rate, its offset, L1 and L2 of FTRL-proximal.
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.15, 0.3
 EPOCHS = 4
@@ -141,18 +143,18 @@ def sentences(texts: list[str]) -> Sentences:
 
 def _rows(found: Sentences) -> list[np.ndarray]:
     """Distinct buckets of each sentence."""
-    order = np.argsort(found.sentence, kind="stable")
-    edges = np.searchsorted(found.sentence[order], np.arange(len(found.sentence_text) + 1))
-    b = found.bucket[order]
-    return [np.unique(b[edges[i] : edges[i + 1]]) for i in range(len(edges) - 1)]
+    keys = distinct((found.sentence.astype(np.uint64) << np.uint64(BITS)) | found.bucket.astype(np.uint64))
+    edges = np.searchsorted(keys >> np.uint64(BITS), np.arange(len(found.sentence_text) + 1).astype(np.uint64))
+    b = (keys & np.uint64((1 << BITS) - 1)).astype(np.int32)
+    return [b[edges[i] : edges[i + 1]] for i in range(len(edges) - 1)]
 
 
 class Ftrl:
     """FTRL-proximal logistic regression with one output per kind."""
 
     def __init__(self) -> None:
-        self.z = np.zeros((1 << BITS, len(KINDS)))
-        self.n = np.zeros((1 << BITS, len(KINDS)))
+        self.z = np.zeros((1 << BITS, len(KINDS)), np.float32)
+        self.n = np.zeros((1 << BITS, len(KINDS)), np.float32)
         self.bias_z, self.bias_n = np.zeros(len(KINDS)), np.zeros(len(KINDS))
 
     def weights(self, at: np.ndarray | slice) -> np.ndarray:
@@ -225,8 +227,8 @@ class AbuseModel:
         """labelled: (text, labels of its raters); background: texts without labels."""
         rng = np.random.default_rng(seed)
         texts, kinds = seed_sentences(rng)
-        rows = _rows(sentences(texts))
-        owner = sentences(texts).sentence_text
+        cut = sentences(texts)
+        rows, owner = _rows(cut), cut.sentence_text
         target = np.zeros((len(rows), len(KINDS)))
         for i, t in enumerate(owner):
             if kinds[t] >= 0:
@@ -282,18 +284,18 @@ class AbuseModel:
         rows = _rows(found)
         p = self._probability(rows)
         text = found.sentence_text
+        # each feature once a document
+        keys = distinct((text[found.sentence].astype(np.uint64) << np.uint64(BITS)) | found.bucket.astype(np.uint64))
+        bucket, held = (keys & np.uint64((1 << BITS) - 1)).astype(np.int64), (keys >> np.uint64(BITS)).astype(np.int64)
         out, target = [], []
         for k, kind in enumerate(KINDS):
             with_kind = np.array([kind in labels for _, labels in labelled])
             size, rest = with_kind.sum(), (~with_kind).sum()
             if not size:
                 continue
-            pairs = [(b, t) for i, t in enumerate(text) for b in rows[i]]
-            if not pairs:
-                continue
-            keys = np.unique(np.array(pairs, np.int64), axis=0)
-            inside = np.bincount(keys[with_kind[keys[:, 1]], 0], minlength=1 << BITS)
-            outside = np.bincount(keys[~with_kind[keys[:, 1]], 0], minlength=1 << BITS)
+            yes = with_kind[held]
+            inside = np.bincount(bucket[yes], minlength=1 << BITS)
+            outside = np.bincount(bucket[~yes], minlength=1 << BITS)
             odds = np.log((inside + 0.5) / (size + 1)) - np.log((outside + 0.5) / (rest + 1))
             odds[inside < 4] = 0
             order = np.argsort(text, kind="stable")
@@ -338,9 +340,9 @@ def fit_sample(documents: DataFrame, labels: DataFrame) -> AbuseModel:
         .orderBy("h")
         .limit(LABELLED)
     )
-    texts = documents.where(F.length("text") > 0).select("doc_id", "text")
+    texts = documents.where(F.length("text") > 0).select("doc_id", F.substring("text", 1, FIT_CHARACTERS).alias("text"))
     labelled = by_document.join(texts, "doc_id").select("h", "text", "labels").collect()
-    others = texts.select(F.xxhash64("doc_id", F.lit(9)).alias("h"), F.substring("text", 1, 20_000).alias("text")).orderBy("h").limit(BACKGROUND).collect()
+    others = texts.select(F.xxhash64("doc_id", F.lit(9)).alias("h"), "text").orderBy("h").limit(BACKGROUND).collect()
     return AbuseModel.fit([(r["text"], list(r["labels"])) for r in sorted(labelled, key=lambda r: r["h"])], [r["text"] for r in others])
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rdfloom.plans import packed
+from rdfloom.plans import measures, packed, structure
 
-_MODULES = (packed,)
+_MODULES = (structure, measures, packed)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}

@@ -102,14 +102,15 @@ def rewrite_triples(entries: DataFrame, key: list[str], triples: str, entities:
 
     entities and relations: (token, output). Joins by token, so a dictionary may be of any size.
     """
-    parts = entries.select(*key, F.posexplode(triples).alias("i", "t")).withColumn("x", parse_triple_line(F.col("t")))
-    dictionary = entities.select(F.lit("e").alias("k"), "token", "output").unionByName(relations.select(F.lit("r").alias("k"), "token", "output")).dropDuplicates(["k", "token"])
-    fields = parts.select(*key, "i", F.inline(F.array(*[
-        F.struct(F.lit(n).alias("n"), F.lit(k).alias("k"), F.coalesce(F.col(f"x.{f}"), F.lit("")).alias("token")) for n, (k, f) in enumerate((("e", "s"), ("r", "p"), ("e", "o")))
+    parts = entries.select(*key, F.posexplode(triples).alias("_i", "_t")).withColumn("_x", parse_triple_line(F.col("_t")))
+    kind = lambda k, f: f.select(F.lit(k).alias("_k"), F.col("token").alias("_token"), F.col("output").alias("_output"))
+    dictionary = kind("e", entities).unionByName(kind("r", relations)).dropDuplicates(["_k", "_token"])
+    fields = parts.select(*key, "_i", F.inline(F.array(*[
+        F.struct(F.lit(n).alias("_n"), F.lit(k).alias("_k"), F.coalesce(F.col(f"_x.{f}"), F.lit("")).alias("_token")) for n, (k, f) in enumerate((("e", "s"), ("r", "p"), ("e", "o")))
     ])))
-    named = fields.join(dictionary, ["k", "token"], "left").withColumn("v", F.coalesce("output", "token"))
-    lines = named.groupBy(*key, "i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "v"))), lambda s: s["v"]), " | ").alias("line"))
-    return lines.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda s: s["line"]).alias(triples))
+    named = fields.join(dictionary, ["_k", "_token"], "left").withColumn("_v", F.coalesce("_output", "_token"))
+    lines = named.groupBy(*key, "_i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_v"))), lambda s: s["_v"]), " | ").alias("_line"))
+    return lines.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_line"))), lambda s: s["_line"]).alias(triples))
 
 
 def registry_sync(lexicalisations: DataFrame, registry: DataFrame, key: list[str], text: str, final: str) -> DataFrame:

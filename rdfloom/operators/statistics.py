@@ -41,20 +41,21 @@ def ranking(rows: DataFrame, by: list[str], score: str, positive: str) -> DataFr
     scores speak for the positive class; NULL scores are left out.
     """
     y = F.col(positive).cast("boolean")
-    counted = rows.where(F.col(score).isNotNull() & F.col(positive).isNotNull()).groupBy(*by, score).agg(F.count_if(y).alias("p"), F.count_if(~y).alias("n"))
-    up = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0) if by else Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    counted = rows.where(F.col(score).isNotNull() & F.col(positive).isNotNull()).groupBy(*by, F.col(score).alias("_v")).agg(F.count_if(y).alias("_p"), F.count_if(~y).alias("_n"))
+    ordered = lambda *c: (Window.partitionBy(*by) if by else Window).orderBy(*c)
+    up = ordered("_v").rowsBetween(Window.unboundedPreceding, -1)
+    down = ordered(F.desc("_v")).rowsBetween(Window.unboundedPreceding, 0)
     w = counted.withColumns({
-        "below": F.coalesce(F.sum("n").over(up), F.lit(0)), "tp": F.sum("p").over(down), "said": F.sum(F.col("p") + F.col("n")).over(down),
+        "_below": F.coalesce(F.sum("_n").over(up), F.lit(0)), "_tp": F.sum("_p").over(down), "_said": F.sum(F.col("_p") + F.col("_n")).over(down),
     })
     total = w.groupBy(*by).agg(
-        F.sum("p").alias("positives"), F.sum("n").alias("negatives"),
-        F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("wins"), F.sum(F.col("p") * F.col("tp") / F.col("said")).alias("ap"),
+        F.sum("_p").alias("positives"), F.sum("_n").alias("negatives"),
+        F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2)).alias("_wins"), F.sum(F.col("_p") * F.col("_tp") / F.col("_said")).alias("_ap"),
     )
     both = (F.col("positives") > 0) & (F.col("negatives") > 0)
     return total.select(
-        *by, F.when(both, F.col("wins") / (F.col("positives") * F.col("negatives"))).alias("auroc"),
-        F.when(both, F.col("ap") / F.col("positives")).alias("average_precision"), "positives", "negatives",
+        *by, F.when(both, F.col("_wins") / (F.col("positives") * F.col("negatives"))).alias("auroc"),
+        F.when(both, F.col("_ap") / F.col("positives")).alias("average_precision"), "positives", "negatives",
     )
 
 

@@ -64,26 +64,31 @@ def first_per_key(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def donor_select(rows: DataFrame, record: str, size: str, category: str, seed: str = "donor") -> DataFrame:
+def _leaders(keyed: DataFrame, by: list[str], record: str, category: str) -> DataFrame:
+    """(by, a, b, c): of each group the record of least hash, the least of another category than it, and the least of the rest."""
+    row = F.struct("_h", F.col(record).alias("r"), F.col(category).alias("k"))
+    best = keyed.groupBy(*by).agg(F.min(row).alias("a"))
+    rest = (keyed.join(best, by) if by else keyed.crossJoin(F.broadcast(best))).where(F.col(record) != F.col("a.r"))
+    more = rest.groupBy(*by).agg(F.min(F.when(~F.col(category).eqNullSafe(F.col("a.k")), row)).alias("b"), F.min(row).alias("c"))
+    return best.join(more, by, "left") if by else best.crossJoin(F.broadcast(more))
+
+
+def donor_select(rows: DataFrame, record: str, size: str, category: str, seed: str = "donor", buckets: int = 64) -> DataFrame:
     """(record, donor): another record of the same size if there is one, of another category if possible, else any.
 
-    Within each size the records stand in hash order; the donor is the next of another category, found
-    by one window over runs of equal category, so no pairs are formed.
+    Every size keeps, for each hash bucket and as a whole, its record of least hash, the least of another
+    category, and the next; a record takes the first of these that fits. These are aggregations that
+    combine before the shuffle: no pairs are formed and no size is gathered. NULL sizes are no size.
     """
-    keyed = rows.select(record, size, category).dropDuplicates([record]).withColumn("_h", F.sha2(F.concat_ws("|", F.lit(seed), F.col(record).cast("string")), 256))
-    w = Window.partitionBy(size).orderBy("_h", record)
-    down = Window.partitionBy(size).orderBy(F.desc("_h"), F.desc(record))
-    run = keyed.withColumn("_next", F.lead(record).over(w)).withColumn("_first", F.first(record).over(w)).withColumn("_nextcat", F.lead(category).over(w))
-    # the next of another category: where it changes, carried back
-    change = F.when(~F.col("_nextcat").eqNullSafe(F.col(category)) & F.col("_next").isNotNull(), F.col("_next"))
-    ahead = run.withColumn("_other", F.last(change, ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    whole = Window.partitionBy(size)
-    starts = ahead.withColumn("_start", F.min(F.struct("_h", record, category)).over(whole))
-    wrap = F.when(~F.col(f"_start.{category}").eqNullSafe(F.col(category)), F.col(f"_start.{record}"))
-    same = F.when(F.col("_first") != F.col(record), F.col("_first"))
-    found = starts.select(record, F.coalesce("_other", wrap, "_next", same).alias("donor"))
-    # records alone in their size take the first record of the whole by hash, or the second
-    alone = keyed.agg(F.min(F.struct("_h", record)).alias("a"))
-    two = keyed.join(alone, keyed["_h"] != F.col("a._h")).agg(F.min(F.struct("_h", record)).alias("b"), F.first("a").alias("a"))
-    fallback = F.when(F.col(f"a.{record}") != F.col(record), F.col(f"a.{record}")).otherwise(F.col(f"b.{record}"))
-    return found.join(F.broadcast(two), F.lit(True), "left").select(record, F.coalesce("donor", fallback).alias("donor"))
+    keyed = (
+        rows.select(record, size, category).dropDuplicates([record])
+        .withColumn("_h", F.sha2(F.concat_ws("|", F.lit(seed), F.col(record).cast("string")), 256))
+        .withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int") % buckets)
+    )
+    near = _leaders(keyed, [size, "_b"], record, category).select(size, "_b", *[F.col(x).alias(f"n{x}") for x in "abc"])
+    own = _leaders(keyed, [size], record, category).select(size, *[F.col(x).alias(f"s{x}") for x in "abc"])
+    every = _leaders(keyed, [], record, category).select(*[F.col(x).alias(f"e{x}") for x in "abc"])
+    joined = keyed.join(near, [size, "_b"], "left").join(own, size, "left").crossJoin(F.broadcast(every))
+    other = [F.when(~F.col(f"{x}.k").eqNullSafe(F.col(category)), F.col(f"{x}.r")) for x in ("na", "nb", "sa", "sb")]
+    any_ = [F.when(F.col(f"{x}.r") != F.col(record), F.col(f"{x}.r")) for x in ("sa", "sc", "ea", "ec")]
+    return joined.select(record, F.coalesce(*other, *any_).alias("donor"))

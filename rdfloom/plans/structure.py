@@ -239,14 +239,14 @@ ORACLE = {
     "mapping_examples": f"{_COMPONENTS}, v as (select language, source_normalized, target_normalized, min(record_key) as o from r where component_type = 'predicate' and source_normalized <> '' group by 1, 2, 3), k as (select *, row_number() over (partition by language, source_normalized order by o, target_normalized) as rn from v) select language, source_normalized, string_agg(target_normalized, '; ' order by rn) as examples from k where rn <= 4 group by 1, 2",
     "outer_align": f"with e as (select * from {_EX} where target is not null), a as (select split, bucket, xml_file, eid, lid, min(target) as source_text from e where lang = 'en' group by all), b as (select split, bucket, xml_file, eid, lid, min(target) as target_text, count(*) as n from e where lang = 'ca' group by all) select split, bucket, xml_file, eid, lid, source_text, target_text, coalesce(n, 0) > 1 as duplicate_target from a full join b using (split, bucket, xml_file, eid, lid)",
     "comparison_reference": f"with f as (select xml_path || '::' || eid as record, source_lid as lid, min(source_en) as t from verbalisation_registry where {_NS.format('source_lid')} <> '' and {_NS.format('source_en')} <> '' group by 1, 2) select f.record, f.lid, o.lid as comparison_lid, o.t as comparison_text from f left join lateral (select g.lid, g.t from f g where g.record = f.record and g.lid <> f.lid order by g.lid, g.t limit 1) o on true",
-    "donor_select": """with k as (select distinct record_key, expected_triple_count, category, sha256('donor|' || record_key) as h from qa11_entries),
-s as (select *, row_number() over (partition by expected_triple_count order by h, record_key) as i, count(*) over (partition by expected_triple_count) as n from k),
-d as (select a.record_key, min(case when b.i > a.i and b.category is distinct from a.category then b.i end) as other, min(case when b.i = 1 and b.category is distinct from a.category then b.i end) as wrap, any_value(a.i) as i, any_value(a.n) as n, any_value(a.expected_triple_count) as e
-      from s a join s b on a.expected_triple_count is not distinct from b.expected_triple_count group by 1),
-c as (select record_key, e, coalesce(other, wrap, case when i < n then i + 1 end, case when i > 1 then 1 end) as j from d),
-w as (select record_key, row_number() over (order by h, record_key) as g from k)
-select c.record_key, coalesce(s.record_key, case when w1.record_key <> c.record_key then w1.record_key else w2.record_key end) as donor
-from c left join s on s.expected_triple_count = c.e and s.i = c.j join w w1 on w1.g = 1 left join w w2 on w2.g = 2""",
+    "donor_select": """with k as (select distinct record_key as r, expected_triple_count as e, category as c, sha256('donor|' || record_key) as h from qa11_entries),
+q as (select *, ('0x' || substr(h, 1, 4))::int % 64 as b from k),
+na as (select e, b, arg_min(r, h) as r, arg_min(c, h) as c from q group by 1, 2), nb as (select q.e, q.b, arg_min(q.r, h) as r, arg_min(q.c, h) as c from q join na using (e, b) where q.c <> na.c group by 1, 2),
+sa as (select e, arg_min(r, h) as r, arg_min(c, h) as c from q group by 1), sb as (select q.e, arg_min(q.r, h) as r, arg_min(q.c, h) as c from q join sa using (e) where q.c <> sa.c group by 1),
+sc as (select q.e, arg_min(q.r, h) as r from q join sa using (e) where q.r <> sa.r group by 1), ea as (select arg_min(r, h) as r from q), ec as (select arg_min(q.r, h) as r from q, ea where q.r <> ea.r)
+select q.r as record_key, coalesce(case when na.c <> q.c then na.r end, case when nb.c <> q.c then nb.r end, case when sa.c <> q.c then sa.r end, case when sb.c <> q.c then sb.r end,
+  case when sa.r <> q.r then sa.r end, case when sc.r <> q.r then sc.r end, case when ea.r <> q.r then ea.r end, case when ec.r <> q.r then ec.r end) as donor
+from q left join na using (e, b) left join nb using (e, b) left join sa using (e) left join sb using (e) left join sc using (e) cross join ea left join ec on true""",
     "latest_per_key": "with r as (select distinct xml_path, eid, source_lid, upper(status) as status, processed_at, final_ca from verbalisation_registry) select xml_path, eid, source_lid, status, processed_at, final_ca from r qualify row_number() over (partition by xml_path, eid, source_lid order by processed_at desc nulls last, status desc nulls last, final_ca desc nulls last) = 1",
     "pending_keys": "with r as (select distinct xml_path, eid, source_lid, upper(status) as status from verbalisation_registry) select * from r where not exists (select 1 from r d where d.status = 'OK' and d.xml_path = r.xml_path and d.eid = r.eid and d.source_lid = r.source_lid)",
     "vote_agreement": "with r as (select distinct * exclude (loaded_at), case when vote_threshold > 0 and vote_threshold <= 1 then vote_threshold else 0.9 end as t from verbalisation_registry where sim_nllb_madlad is not null) select category, count(*) as rows, count(*) filter (sim_nllb_madlad >= t) as nllb_madlad, count(*) filter (sim_nllb_salamandra >= t) as nllb_salamandra, count(*) filter (sim_madlad_salamandra >= t) as madlad_salamandra from r group by 1",

@@ -33,7 +33,7 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
 
 def documents(spark: SparkSession, root: str) -> DataFrame:
     """(xml_path, split, triple_bucket, entries): one row a usable file; entries is NULL where it does not parse."""
-    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml").text(root)
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.xml")
     path = F.regexp_replace(F.col("_metadata.file_path"), f"^.*?{re.escape(root.rstrip('/'))}/", "")
     parts = F.split("xml_path", "/")
     usable = raw.select(path.alias("xml_path"), "value").where(~F.col("xml_path").endswith("-checkpoint.xml") & ~F.col("xml_path").rlike("(^|/)\\."))

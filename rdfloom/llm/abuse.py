@@ -5,8 +5,8 @@ one or two between). Per-coordinate learning rates and L1 sparsity leave a table
 small enough to go to every executor; a document's score of a kind is that of its worst sentence.
 
 The fit uses training sentences (``abuse_seeds``), and raters' labels from a bounded sample: labels
-hold for documents and are partly wrong, so of a document labelled with a kind only the sentence
-that speaks most for it is learned, and documents without any such sentence are left out.
+hold for documents and are partly wrong, so of a document labelled with a kind only its sentence of
+the highest score is learned, and documents without a sentence the model is sure of are left out.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from rdfloom.llm import abuse_seeds as seeds
 from rdfloom.llm.textvec import FOLD, KIND, chunks, codes_of, distinct, hash_runs, mix, word_spans
 
 KINDS = ("abusive", "hateful", "sexual")
-BITS = 18
+BITS = 20
 #: At most so many labelled documents, and so many without a label, take part in the fit.
 LABELLED, BACKGROUND = 2_500, 300
 #: Only so many characters of such a document take part in the fit.
@@ -31,8 +31,13 @@ FIT_CHARACTERS = 6_000
 #: Learning rate, its offset, L1 and L2 of FTRL-proximal.
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.15, 0.3
 EPOCHS = 4
+#: A sentence of a document without label, or labelled as clean, is learned as plain below this score, for
+#: labels are partly wrong, or where its features are in so many of these documents that it is boilerplate.
+UNSURE, FREQUENT = 0.3, 5
+#: A labelled document's best sentence is learned for its label from this score on.
+SURE = 0.5
 #: A score from which a kind is reported.
-THRESHOLD = 0.4
+THRESHOLD = 0.6
 
 _LEET = {ord(a): ord(b) for a, b in zip("@$013457!", "asoieasti", strict=True)}
 
@@ -234,25 +239,27 @@ class AbuseModel:
             if kinds[t] >= 0:
                 target[i, kinds[t]] = 1
         weight = np.ones(len(rows))
-        # plain sentences: documents that no rater objects to, and unlabelled ones
-        calm = [t for t, labels in labelled if set(labels) <= {"none"}][:BACKGROUND]
-        quiet = _rows(sentences(calm)) if calm else []
-        rest = _rows(sentences(background)) if background else []
+        # plain sentences: of documents that no rater objects to, and of unlabelled ones
+        calm = [t for t, labels in labelled if set(labels) <= {"none"}][:BACKGROUND] + background
+        plain = sentences(calm)
+        plain_rows = _rows(plain)
+        # in how many of these documents a sentence's features occur, its median
+        keys = distinct((plain.sentence_text[plain.sentence].astype(np.uint64) << np.uint64(BITS)) | plain.bucket.astype(np.uint64))
+        df = np.bincount((keys & np.uint64((1 << BITS) - 1)).astype(np.int64), minlength=1 << BITS)
+        common = np.array([np.median(df[r]) if len(r) else 0 for r in plain_rows])
         model = cls._train(rows, target, weight, rng)
-        for _ in range(2):
+        for last in (False, True):
             more, more_target, more_weight = list(rows), [target], [weight]
-            for part, sure in ((quiet, 0.9), (rest, 0.5)):
-                if not part:
-                    continue
-                p = model._probability(part)
-                use = np.flatnonzero(p.max(1) < sure)
-                more += [part[i] for i in use]
+            if plain_rows:
+                use = np.flatnonzero((model._probability(plain_rows).max(1) < UNSURE) | (common >= FREQUENT))
+                more += [plain_rows[i] for i in use]
                 more_target.append(np.zeros((len(use), len(KINDS))))
                 more_weight.append(np.full(len(use), 0.5))
-            found, found_target = model._from_labels(labelled)
-            more += found
-            more_target.append(found_target)
-            more_weight.append(np.ones(len(found)))
+            if last:
+                found, found_target = model._from_labels(labelled)
+                more += found
+                more_target.append(found_target)
+                more_weight.append(np.ones(len(found)))
             model = cls._train(more, np.concatenate(more_target), np.concatenate(more_weight), rng)
         return model
 
@@ -272,11 +279,7 @@ class AbuseModel:
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -35, 35)))
 
     def _from_labels(self, labelled: list[tuple[str, list[str]]]) -> tuple[list[np.ndarray], np.ndarray]:
-        """Of each labelled document the sentence that speaks most for its label.
-
-        What speaks for a kind is the model's score and how much more often a word occurs in
-        documents of that kind than in the others.
-        """
+        """Of each labelled document the sentence that scores highest for its label, if the model is sure of it."""
         texts = [t for t, _ in labelled]
         if not texts:
             return [], np.zeros((0, len(KINDS)))
@@ -284,30 +287,17 @@ class AbuseModel:
         rows = _rows(found)
         p = self._probability(rows)
         text = found.sentence_text
-        # each feature once a document
-        keys = distinct((text[found.sentence].astype(np.uint64) << np.uint64(BITS)) | found.bucket.astype(np.uint64))
-        bucket, held = (keys & np.uint64((1 << BITS) - 1)).astype(np.int64), (keys >> np.uint64(BITS)).astype(np.int64)
         out, target = [], []
         for k, kind in enumerate(KINDS):
             with_kind = np.array([kind in labels for _, labels in labelled])
-            size, rest = with_kind.sum(), (~with_kind).sum()
-            if not size:
-                continue
-            yes = with_kind[held]
-            inside = np.bincount(bucket[yes], minlength=1 << BITS)
-            outside = np.bincount(bucket[~yes], minlength=1 << BITS)
-            odds = np.log((inside + 0.5) / (size + 1)) - np.log((outside + 0.5) / (rest + 1))
-            odds[inside < 4] = 0
             order = np.argsort(text, kind="stable")
             edges = np.searchsorted(text[order], np.arange(len(texts) + 1))
             for d in np.flatnonzero(with_kind):
                 mine = order[edges[d] : edges[d + 1]]
                 if not len(mine):
                     continue
-                evidence = np.array([np.sort(odds[rows[i]])[-6:].mean() if len(rows[i]) > 5 else 0 for i in mine])
-                value = p[mine, k] + np.clip(evidence, 0, 4) / 4
-                best = mine[value.argmax()]
-                if (p[best, k] > 0.3 or p[best, k] > 0.2 and value.max() - p[best, k] > 0.55) and p[best].max() - p[best, k] < 0.4:
+                best = mine[p[mine, k].argmax()]
+                if p[best, k] >= SURE and p[best, k] == p[best].max():
                     out.append(rows[best])
                     y = np.zeros(len(KINDS))
                     y[k] = 1

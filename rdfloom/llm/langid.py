@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rdfloom.llm.phrases import REFUSALS, SEEDS
-from rdfloom.llm.textvec import FOLD, KIND, LOWER, chunks, codes_of, distinct, mix
+from rdfloom.llm.textvec import FOLD, KIND, LOWER, UPPER, chunks, codes_of, distinct, mix, word_spans
 
 LANGUAGES = ("en", "es", "ca", "fr")
 ORDERS = (2, 3, 4)
@@ -35,7 +35,7 @@ SAMPLE_CHARACTERS = 2_000
 RIDGE = 0.3
 #: A segment is running text with so many words. It is in another language than most of its text
 #: with this confidence, if the text's own language gets at most the second value.
-LEAST_WORDS, LEAST_CONFIDENCE, LEFT_CONFIDENCE = 3, 0.6, 0.04
+LEAST_WORDS, LEAST_CONFIDENCE, LEFT_CONFIDENCE = 2, 0.6, 0.04
 
 #: Spellings of the codes, apart from case and region.
 SPELLINGS = {
@@ -77,7 +77,7 @@ class Segments:
 def segments(texts: list[str]) -> Segments:
     """Cuts texts at sentence ends, semicolons and line breaks, and takes the n-grams of each piece.
 
-    Only letters count; everything else is one blank. A mark ends a piece before white space only.
+    Only letters count, without names; everything else is one blank. A mark ends a piece before white space only.
     """
     codes, starts = codes_of(texts)
     letter = KIND[codes] == 1
@@ -87,6 +87,18 @@ def segments(texts: list[str]) -> Segments:
     cut = _ALWAYS[codes] | (_STRONG[codes] & blank_next)
     cut[starts[1:] - 1] = True
     piece = np.concatenate([[0], np.cumsum(cut)[:-1]])
+    # names say nothing about the language: words in capital and small letters, but for one at the start
+    # of a piece that no other such word follows
+    begin, end = word_spans(letter)
+    if len(begin):
+        capital = (UPPER[codes[begin]] == 1) & (end - begin > 1) & (UPPER[codes[np.minimum(begin + 1, len(codes) - 1)]] == 0)
+        at_start = np.concatenate([[True], piece[begin[1:]] != piece[begin[:-1]]])
+        then_capital = np.concatenate([capital[1:] & ~at_start[1:], [False]])
+        name = capital & (~at_start | then_capital)
+        mark = np.zeros(len(codes) + 1, np.int32)
+        np.add.at(mark, begin[name], 1)
+        np.add.at(mark, end[name], -1)
+        letter &= np.cumsum(mark[:-1]) == 0
     previous = np.concatenate([[True], (~letter[:-1]) | cut[:-1]])
     keep = letter | ~previous
     keep &= ~cut | ~previous

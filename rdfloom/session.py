@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,8 +34,24 @@ def session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str)
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once a session, through Spark's own file server."""
+    context = spark.sparkContext
+    if getattr(context, "_rdfloom_shipped", False):
+        return
+    root = Path(__file__).parent
+    target = Path(tempfile.mkdtemp(prefix="rdfloom_")) / "rdfloom.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(target))
+    atexit.register(shutil.rmtree, target.parent, True)
+    context._rdfloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A Parquet table of the data directory, pruned to ``columns`` if any are named."""
+    ship(spark)
     frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return frame.select(*columns) if columns else frame
 

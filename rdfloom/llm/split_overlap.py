@@ -47,6 +47,17 @@ def fact_set(triples: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(triple_items(triples), one)))
 
 
+def coarse_key(triples: Column) -> Column:
+    """A hash of the distinct words of three characters or more in a packed field.
+
+    Fields that hold equal facts have equal keys: packings differ in marks, list numbers and tags only,
+    which are shorter, and in escapes, which are resolved first where there are any.
+    """
+    text = F.when(triples.contains("\\"), F.array_join(triple_items(triples), "\n")).otherwise(triples)
+    bare = F.regexp_replace(F.translate(text, "_", " "), "(?m)(?:^|(?<=\\s))\\(?\\d{1,3}[.)](?=\\s)", " ")
+    return F.xxhash64(F.array_sort(F.array_distinct(F.regexp_extract_all(plain(bare), F.lit("[\\p{L}\\p{N}]{3,}"), F.lit(0)))))
+
+
 def word_list(text: Column) -> Column:
     return F.regexp_extract_all(plain(F.regexp_replace(text, "\\[\\s*\\d{1,3}\\s*\\]|</?[a-zA-Z][^<>]{0,40}>", " ")), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
 
@@ -69,9 +80,14 @@ def overlaps(records: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     count once.
     """
     words = F.col("words")
+    known = records.where(F.col("id").isNotNull() & F.col("split").isNotNull() & (F.length(F.trim("triples")) > 0) & (F.length(F.trim("target")) > 0)).select(
+        "id", (F.lower(F.trim("split")) == "train").alias("train"), "triples", "target", coarse_key(F.col("triples")).alias("coarse")
+    )
+    # first by a key that equal facts share whatever their packing; few records get past it
+    shared = cut(known.groupBy("coarse").agg(F.max("train").alias("a"), F.min("train").alias("b")).where("a and not b").select("coarse"))
     base = cut(
-        records.where(F.col("id").isNotNull() & F.col("split").isNotNull() & F.col("target").isNotNull())
-        .select("id", (F.lower(F.trim("split")) == "train").alias("train"), fact_set(F.col("triples")).alias("facts"), word_list(F.col("target")).alias("words"))
+        known.join(shared, "coarse", "left_semi")
+        .select("id", "train", fact_set(F.col("triples")).alias("facts"), word_list(F.col("target")).alias("words"))
         .where((F.size("facts") > 0) & (F.size(words) > 0))
         .select("id", "train", F.md5(F.array_join("facts", "\n")).alias("key"), F.xxhash64(words, F.lit(1)).alias("text"), F.xxhash64(words).alias("text2"), "facts", "words")
         .dropDuplicates(["id"])

@@ -106,3 +106,10 @@ def expected_known(detector_labels: list[str], rows: DataFrame, expected: str) -
 def smooth_idf(n: int, df: int) -> float:
     """The inverse document frequency the detector uses."""
     return math.log((n + 1) / (df + 1))
+
+
+def language_status(flagged: DataFrame, *by: str) -> DataFrame:
+    """By group: the shares of valid, wrong and uncertain language, the last being what the others leave."""
+    share = lambda c: F.avg(F.coalesce(F.col(c), F.lit(False)).cast("double"))
+    out = flagged.groupBy(*by).agg(F.count("*").alias("texts"), share("valid_target_language").alias("valid"), share("wrong_language_detected").alias("wrong"))
+    return out.withColumn("uncertain", F.greatest(F.lit(0.0), 1 - F.col("valid") - F.col("wrong")))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rdfloom.operators.integrity import CHECKS
@@ -216,3 +216,24 @@ def detection(checked: DataFrame, *by: str) -> DataFrame:
     return checked.where(C("corruption_type").startswith("qa1_")).groupBy("corruption_type", *by).agg(
         F.count("*").alias("variants"), F.avg(F.coalesce(detected, F.lit(False)).cast("double")).alias("detection_rate")
     )
+
+
+def inconsistent_mappings(components: DataFrame, keys: list[str], source: str, target: str, record: str, items: int = 20, least: int = 5, share: float = 0.3) -> DataFrame:
+    """Rows of the most frequent items of each group with a share of their target forms changed by a suffix, and ``changed``.
+
+    ``components`` are mapping rows; an item is a source component with at least ``least`` records, the
+    ``items`` most frequent of each group (by number, then name) are taken, and a hash of record and item
+    picks the rows to change.
+    """
+    counted = components.groupBy(*keys, source).agg(F.count_distinct(record).alias("_n")).where(C("_n") >= least)
+    top = counted.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_n"), source))).where(C("_r") <= items).select(*keys, source)
+    rows = components.join(top, [*keys, source])
+    chosen = F.pmod(F.xxhash64(record, source), F.lit(1_000)) < int(share * 1_000)
+    return rows.withColumn("changed", chosen).withColumn(target, F.when(C("changed"), F.concat(C(target), F.lit(" alt"))).otherwise(C(target)))
+
+
+def consistency_detection(profile_before: DataFrame, profile_after: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, harmed, detected): items whose mapping became inconsistent, by the review signal before and after."""
+    a = profile_before.select(*keys, C("mapping_review_signal").alias("_a"))
+    b = profile_after.select(*keys, C("mapping_review_signal").alias("_b"))
+    return b.join(a, keys, "left").select(*keys, F.coalesce(~C("_a"), F.lit(False)).alias("consistent_before"), C("_b").alias("inconsistency_detected"))

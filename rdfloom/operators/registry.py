@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rdfloom.functions.similarity import sequence_ratio
 from rdfloom.functions.text import has_mojibake, normalize_space, parse_triple_line, safe_threshold, token_jaccard
+from rdfloom.operators.statistics import knee_threshold
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
@@ -136,3 +137,43 @@ def distinct_components(entries: DataFrame, triples: str) -> DataFrame:
 
 def first_places(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
+
+
+def filtered_vote(rows: DataFrame, candidates: list[str], threshold: Column, rejected: list[Column], closeness: list[Column], old: Column, name: str = "voted") -> DataFrame:
+    """Vote among the candidates that are not rejected (say, as English): of a pair that agrees the one closest to the source,
+    else the closest of all left; equals go by centrality, then by order. Nothing left keeps the old value."""
+    text = [normalize_space(F.col(x)) for x in candidates]
+    t = safe_threshold(threshold)
+    left = [(x != "") & ~F.coalesce(r, F.lit(False)) for x, r in zip(text, rejected, strict=True)]
+    s = {(0, 1): F.col("_01"), (0, 2): F.col("_02"), (1, 2): F.col("_12")}
+    near = {k: left[k[0]] & left[k[1]] & (v >= t) for k, v in s.items()}
+    edges = sum((v.cast("int") for v in near.values()), F.lit(0))
+    center = [F.when(left[1], s[0, 1]).otherwise(0) + F.when(left[2], s[0, 2]).otherwise(0), F.when(left[0], s[0, 1]).otherwise(0) + F.when(left[2], s[1, 2]).otherwise(0), F.when(left[0], s[0, 2]).otherwise(0) + F.when(left[1], s[1, 2]).otherwise(0)]
+    paired = [F.when(edges == 1, near[0, 1] | near[0, 2]).otherwise(True), F.when(edges == 1, near[0, 1] | near[1, 2]).otherwise(True), F.when(edges == 1, near[0, 2] | near[1, 2]).otherwise(True)]
+    options = F.array_compact(F.array(*[
+        F.when(left[i] & paired[i], F.struct((-F.coalesce(closeness[i], F.lit(-1.0))).alias("a"), (-center[i]).alias("b"), F.lit(i).alias("c"), text[i].alias("v"))) for i in range(3)
+    ]))
+    best = F.get(F.array_sort(options), F.lit(0))
+    return similarities(rows, candidates).withColumn(name, F.coalesce(best["v"], old)).drop("_01", "_02", "_12")
+
+
+def parity(items: DataFrame, record: str, language: str, reference: str = "en") -> DataFrame:
+    """(language, records, matching, match_rate): records whose number of items equals that of the reference language."""
+    counted = items.groupBy(record, language).agg(F.count("*").alias("_n"))
+    base = counted.where(F.col(language) == reference).select(record, F.col("_n").alias("_r"))
+    others = items.where(F.col(language) != reference).select(language).distinct()
+    every = base.crossJoin(F.broadcast(others)).join(counted, [record, language], "left")
+    return every.groupBy(language).agg(F.count("*").alias("records"), F.count_if(F.col("_n") == F.col("_r")).alias("matching")).withColumn("match_rate", F.try_divide("matching", "records"))
+
+
+def back_translation_diff(original: DataFrame, returned: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, status): how a text differs from its back translation, or which side is missing."""
+    both = original.select(*keys, F.col(text).alias("_a")).join(returned.select(*keys, F.col(text).alias("_b")), keys, "full")
+    status = F.when(F.col("_a").isNull(), "MISSING_ORIGINAL").when(F.col("_b").isNull(), "MISSING_RETURNED")
+    return both.select(*keys, status.otherwise(text_pair_class(F.col("_a"), F.col("_b"), sequence_ratio(F.col("_a"), F.col("_b")))).alias("status"))
+
+
+def quality_registry(scored: DataFrame, key: str, by: list[str], score: str, tail: float = 0.25) -> DataFrame:
+    """(key, by, quality, threshold, kept): the best score of each key over its references, kept above the knee of the lower tail (strictly)."""
+    best = scored.groupBy(key, *by).agg(F.max(score).alias("quality"))
+    return best.join(knee_threshold(best, by, "quality", tail), by).withColumn("kept", F.col("quality") > F.col("threshold"))

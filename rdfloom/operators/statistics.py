@@ -152,3 +152,18 @@ def paired_severity(rows: DataFrame, pair: str, severity: str, value: str, *by:
 
 def weighted_detection(rows: DataFrame, *by: str, rate: str = "detection_rate", weight: str = "variants") -> DataFrame:
     return rows.groupBy(*by).agg(weighted_mean(rate, weight).alias("weighted_detection_rate"), F.min(rate).alias("minimum_detection_rate"))
+
+
+def paired_deltas(variants: DataFrame, clean: DataFrame, key: list[str], metrics: list[str]) -> DataFrame:
+    """The variants with each metric's difference to their clean row, ``delta_metric``; NULL where either is."""
+    base = clean.select(*key, *[F.col(m).alias(f"clean_{m}") for m in metrics])
+    return variants.join(base, key, "left").withColumns({f"delta_{m}": F.col(m) - F.col(f"clean_{m}") for m in metrics})
+
+
+def direction_rates(deltas: DataFrame, metrics: list[str], *by: str, tolerance: float = 0.05) -> DataFrame:
+    """By group: the share of variants whose metric falls, and the share that falls by no more than the tolerance; NULL counts as neither."""
+    out = [F.count("*").alias("variants")]
+    for m in metrics:
+        d = F.col(f"delta_{m}")
+        out += [rate_with_null_false(d < 0).alias(f"{m}_decrease_rate"), rate_with_null_false(d >= -tolerance).alias(f"{m}_non_decrease_rate")]
+    return deltas.groupBy(*by).agg(*out)

@@ -200,7 +200,7 @@ def expansion_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "examples", "example_id", "split", "bucket", "xml_file", "eid", "lid", "lang", "prompt", "target").dropDuplicates(["example_id"]).where("prompt is not null and target is not null")
-    return generation.training_set(rows).select("example_id", "align_key", F.length("messages").alias("characters"))
+    return generation.training_set(rows).select("example_id", "align_key", F.length("prompt").alias("prompt_characters"))
 
 
 def generation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,6 +259,7 @@ from q left join na using (e, b) left join nb using (e, b) left join sa using (e
     "triple_fields": f"with t as (select record_key, language, i - 1 as i, target_triples[i] as t from {_ENTRIES}, unnest(range(1, len(target_triples) + 1)) as u(i)), f as (select record_key, language, i::int as i, {_field('t', 1)} as s, {_field('t', 2)} as p, {_field('t', 3)} as o from t) select *, regexp_matches(p, '[a-zà-ÿ][A-Z]') as camel, {_BAD.format('o')} as malformed from f",
     "predicate_flags": f"with e as (select record_key, language, list_transform(source_triples, lambda t: {_field('t', 2)}) as a, list_transform(target_triples, lambda t: {_field('t', 2)}) as b from {_ENTRIES}), v as (select *, coalesce(len(a) = len(b) and len(a) > 0 and len(list_filter(a, lambda x: {_LABEL.format('x')} = '')) = 0 and len(list_filter(b, lambda x: {_LABEL.format('x')} = '')) = 0, false) as ok from e) select record_key, language, ok as alignment_valid, case when ok then len(list_filter(range(1, len(a) + 1), lambda i: {_LABEL.format('a[i]')} = {_LABEL.format('b[i]')} and regexp_matches(a[i], '[a-zà-ÿ][A-Z]'))) > 0 end as structured_predicate_kept from v",
     "expansion_ratio": f"with r as (select subqa, len({_TOKENS.format('target_text')}) / greatest(len({_TOKENS.format('english_text')}), 1) as r from {_CASES} where english_text <> '' and target_text <> '') select subqa, count(*) as texts, round(avg(r), 8) as mean, round(median(r), 8) as median, round(stddev_samp(r), 8) as deviation from r group by 1",
+    "training_set": f"select example_id, concat_ws('|', coalesce(split, ''), coalesce(bucket, ''), coalesce(xml_file, ''), coalesce(eid, ''), coalesce(lid, ''), coalesce(lang, '')) as align_key, length(prompt)::int as prompt_characters from {_EX} where prompt is not null and target is not null",
     "generation_report": f"select split, category, count(*) as rows, count(*) filter ({_NS.format('target')} <> '') as non_empty from {_EX} group by 1, 2",
     "in_all_languages": f"with r as (select example_id, lang, split || '|||' || category || '|||' || eid as align from {_EX} where lang in ('en', 'es', 'ca')) select * from r where align in (select align from r group by 1 having count(distinct lang) >= 3)",
 }

@@ -205,3 +205,30 @@ def test_generation(spark):
     assert {x.k: round(x.rouge_l, 6) for x in scores.collect()} == {"1": 1.0, "2": 1.0}
     assert abs(generation.corpus_bleu(scores).first().corpus_bleu - 1.0) < 1e-9
     assert generation.summaries(scores.withColumn("g", F.lit("a")), "g", "k", ["rouge_l"]).count() == 4
+
+
+def test_registry_more(spark):
+    votes = spark.createDataFrame([("casa gran", "casa gran", "altre", 0.5, 0.6, 0.9), ("a", "b", "c", 0.1, 0.9, 0.2), ("", None, "", None, None, None)], "a string, b string, c string, x double, y double, z double")
+    closeness = [F.col(k) for k in "xyz"]
+    none = [F.lit(False)] * 3
+    assert [r.voted for r in registry.filtered_vote(votes, ["a", "b", "c"], F.lit(0.9), none, closeness, F.lit("old")).collect()] == ["casa gran", "b", "old"]
+    assert registry.filtered_vote(votes, ["a", "b", "c"], F.lit(0.9), [F.lit(True), F.lit(True), F.lit(False)], closeness, F.lit("old")).first().voted == "altre"
+    items = spark.createDataFrame([("r", "en"), ("r", "en"), ("r", "es"), ("r", "es"), ("q", "en"), ("q", "ca")], "r string, l string")
+    assert {x.l: (x.records, x.matching) for x in registry.parity(items, "r", "l").collect()} == {"es": (2, 1), "ca": (2, 1)}
+    a, b = spark.createDataFrame([("1", "x y"), ("2", "z")], "k string, t string"), spark.createDataFrame([("1", "X y."), ("3", "w")], "k string, t string")
+    assert {x.k: x.status for x in registry.back_translation_diff(a, b, ["k"], "t").collect()} == {"1": "EXACT_MINUS_PUNCT", "2": "MISSING_RETURNED", "3": "MISSING_ORIGINAL"}
+    scores = spark.createDataFrame([(str(i), "m", 0.1 if i < 3 else 0.9 + i / 1000) for i in range(20)], "k string, m string, s double")
+    assert registry.quality_registry(scores, "k", ["m"], "s").where("not kept").count() >= 3
+
+
+def test_stress_more(spark):
+    frame = spark.createDataFrame([("es", f"s{i % 2}", "f", f"r{i}") for i in range(40)], "l string, s string, t string, r string")
+    changed = perturb.inconsistent_mappings(frame, ["l"], "s", "t", "r")
+    before, after = (mapping.mapping_profile(x, ["l", "s"], "t") for x in (frame, changed))
+    assert {x.inconsistency_detected for x in perturb.consistency_detection(before, after, ["l", "s"]).collect()} == {True}
+    clean, bad = spark.createDataFrame([(1, 0.9), (2, 0.5)], "k int, m double"), spark.createDataFrame([(1, 0.4), (2, None)], "k int, m double")
+    rates = statistics.direction_rates(statistics.paired_deltas(bad, clean, ["k"], ["m"]), ["m"]).first()
+    assert (rates.variants, rates.m_decrease_rate, rates.m_non_decrease_rate) == (2, 0.5, 0.0)
+    flags = spark.createDataFrame([(True, False), (False, False), (None, True)], "valid_target_language boolean, wrong_language_detected boolean")
+    status = language.language_status(flags).first()
+    assert abs(status.uncertain - 1 / 3) < 1e-12

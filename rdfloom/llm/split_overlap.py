@@ -85,9 +85,10 @@ def overlaps(records: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     )
     # first by a key that equal facts share whatever their packing; few records get past it
     shared = cut(known.groupBy("coarse").agg(F.max("train").alias("a"), F.min("train").alias("b")).where("a and not b").select("coarse"))
+    # cut here, or the filter on the parsed facts would move below the join and parse every record
+    kept = cut(known.join(shared, "coarse", "left_semi").drop("coarse"))
     base = cut(
-        known.join(shared, "coarse", "left_semi")
-        .select("id", "train", fact_set(F.col("triples")).alias("facts"), word_list(F.col("target")).alias("words"))
+        kept.select("id", "train", fact_set(F.col("triples")).alias("facts"), word_list(F.col("target")).alias("words"))
         .where((F.size("facts") > 0) & (F.size(words) > 0))
         .select("id", "train", F.md5(F.array_join("facts", "\n")).alias("key"), F.xxhash64(words, F.lit(1)).alias("text"), F.xxhash64(words).alias("text2"), "facts", "words")
         .dropDuplicates(["id"])

@@ -24,8 +24,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED = 20_240
-#: Costs: serving floor and requirement, more rows of a stratum, leaving a margin, slack.
-FLOOR, WANTED, MORE, OFF_MARGIN, SLACK = 0, 1, 20, 200, 10_000
+#: Costs: serving floor and requirement, leaving a margin, more rows of a stratum, slack. A requirement that leaves
+#: a margin costs less than any replacement, so no stratum with enough rows goes short for the sake of a margin.
+FLOOR, WANTED, OFF_MARGIN, MORE, SLACK = 0, 1, 200, 1_000, 10_000
 #: Rows of a stratum are ranked in so many salted parts before they meet.
 SALTS = 64
 

@@ -33,6 +33,18 @@ def test_flow_against_enumeration():
     assert quota_flow.solve([], [], [], [], []) == ([], [])
 
 
+def test_shortfall_is_what_is_not_there():
+    for seed in range(60):
+        r = np.random.default_rng(seed)
+        n = 12
+        first, other = [f"a{i // 4}" for i in range(n)], [f"b{i % 4}" for i in range(n)]
+        required, available = r.integers(0, 40, n).tolist(), (r.integers(0, 60, n) * r.integers(0, 2, n)).tolist()
+        floor = r.integers(0, 5, n).tolist()
+        quota, short = quota_flow.solve(first, other, floor, required, available)
+        assert short == [max(0, q - a) for q, a in zip(required, available, strict=True)]
+        assert all(min(q, a) <= x <= a for q, a, x in zip(required, available, quota, strict=True)) and sum(quota) <= sum(required)
+
+
 def test_sample(spark):
     data = [(f"c{i}", [" qa1.1", "QA 1.1", "qa2.1"][i % 3], "es", ["Low", "low "][i % 2]) for i in range(60)] + [("n", None, "es", "Low"), ("c0", " qa1.1", "es", "Low"), (None, "QA1.1", "es", "Low")]
     cases = spark.createDataFrame(data, "case_id string, subqa string, language string, automatic_risk string").withColumn("plan", F.lit("clash"))

@@ -32,8 +32,8 @@ FIT_CHARACTERS = 6_000
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.15, 0.3
 EPOCHS = 4
 #: A sentence of a document without label, or labelled as clean, is learned as plain below this score, for
-#: labels are partly wrong, or where its features are in so many of these documents that it is boilerplate.
-UNSURE, FREQUENT = 0.3, 5
+#: labels are partly wrong. How often it occurs proves nothing: an insult may be copied into any share of the rows.
+UNSURE = 0.3
 #: A labelled document's best sentence is learned for its label from this score on.
 SURE = 0.5
 #: A score from which a kind is reported.
@@ -241,17 +241,13 @@ class AbuseModel:
         weight = np.ones(len(rows))
         # plain sentences: of documents that no rater objects to, and of unlabelled ones
         calm = [t for t, labels in labelled if set(labels) <= {"none"}][:BACKGROUND] + background
-        plain = sentences(calm)
-        plain_rows = _rows(plain)
-        # in how many of these documents a sentence's features occur, its median
-        keys = distinct((plain.sentence_text[plain.sentence].astype(np.uint64) << np.uint64(BITS)) | plain.bucket.astype(np.uint64))
-        df = np.bincount((keys & np.uint64((1 << BITS) - 1)).astype(np.int64), minlength=1 << BITS)
-        common = np.array([np.median(df[r]) if len(r) else 0 for r in plain_rows])
+        # a line that many of them hold is learned once
+        plain_rows = list({r.tobytes(): r for r in _rows(sentences(calm))}.values())
         model = cls._train(rows, target, weight, rng)
         for last in (False, True):
             more, more_target, more_weight = list(rows), [target], [weight]
             if plain_rows:
-                use = np.flatnonzero((model._probability(plain_rows).max(1) < UNSURE) | (common >= FREQUENT))
+                use = np.flatnonzero(model._probability(plain_rows).max(1) < UNSURE)
                 more += [plain_rows[i] for i in use]
                 more_target.append(np.zeros((len(use), len(KINDS))))
                 more_weight.append(np.full(len(use), 0.5))
@@ -321,19 +317,22 @@ class AbuseModel:
 
 
 def fit_sample(documents: DataFrame, labels: DataFrame) -> AbuseModel:
-    """A model from raters' labels; at most LABELLED labelled documents and BACKGROUND others, those of least hash."""
+    """A model from raters' labels; at most LABELLED labelled texts and BACKGROUND others, those of least hash.
+
+    Documents with the same text are one text with all their labels, so copies take no place of another text.
+    """
+    texts = documents.where(F.length("text") > 0).select("doc_id", F.substring("text", 1, FIT_CHARACTERS).alias("text")).withColumn("h", F.xxhash64("text", F.lit(9)))
     by_document = (
         labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
         .groupBy("doc_id")
         .agg(F.collect_set(F.lower(F.trim("label"))).alias("labels"))
-        .withColumn("h", F.xxhash64("doc_id", F.lit(5)))
-        .orderBy("h")
-        .limit(LABELLED)
     )
-    texts = documents.where(F.length("text") > 0).select("doc_id", F.substring("text", 1, FIT_CHARACTERS).alias("text"))
-    labelled = by_document.join(texts, "doc_id").select("h", "text", "labels").collect()
-    others = texts.select(F.xxhash64("doc_id", F.lit(9)).alias("h"), "text").orderBy("h").limit(BACKGROUND).collect()
-    return AbuseModel.fit([(r["text"], list(r["labels"])) for r in sorted(labelled, key=lambda r: r["h"])], [r["text"] for r in others])
+    by_text = by_document.join(texts.select("doc_id", "h"), "doc_id").select("h", F.explode("labels").alias("label")).groupBy("h").agg(F.collect_set("label").alias("labels"))
+    labelled = [(r["h"], sorted(r["labels"])) for r in by_text.orderBy("h").limit(LABELLED).collect()]
+    others = [r["h"] for r in texts.select("h").distinct().orderBy("h").limit(BACKGROUND).collect()]
+    drawn = texts.where(F.col("h").isin([*{h for h, _ in labelled}.union(others)])).groupBy("h").agg(F.min("text").alias("text")).collect()
+    text = {r["h"]: r["text"] for r in drawn}
+    return AbuseModel.fit([(text[h], found) for h, found in labelled], [text[h] for h in others])
 
 
 def score_documents(documents: DataFrame, model: AbuseModel, *keep: str) -> DataFrame:

@@ -302,6 +302,17 @@ def test_abuse(spark):
     assert abuse.kinds_found(abuse.score_documents(frame.limit(0), fitted), fitted).count() == 0
 
 
+def test_abuse_in_copies(spark):
+    insult = "You are a total idiot and everybody knows it."
+    plain = [f"The tower of place {i} was built in {1500 + i} and is {i} metres high." for i in range(60)]
+    # copies of one document, and one line in otherwise distinct documents
+    copies, footers = [insult] * 40, [f"{t}\n\nYou pathetic moron, shut up." for t in plain[:30]]
+    frame = spark.createDataFrame(list(enumerate([*copies, *footers, *plain[30:]])), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(80, "none"), (81, "none"), (0, "abusive"), (1, "none")], "doc_id bigint, label string")
+    fitted = abuse.fit_sample(frame, labels)
+    assert rows(abuse.kinds_found(abuse.score_documents(frame, fitted), fitted)) == [(i, "abusive") for i in range(70)]
+
+
 def test_disguises():
     one = lambda t: abuse.sentences([t]).words.tolist()
     assert one("i-d-i-o-t") == one("idiot") == one("IDIOT") == one("1d10t".replace("1d10t", "id1ot")) == one("idiooot".replace("ooo", "o")) and one("f**k") != one("fk") and one("soooo") == one("so")

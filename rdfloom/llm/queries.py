@@ -58,7 +58,7 @@ def p3_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = table(spark, sf_dir, "cases").select(
         F.col("case_id").alias("id"), F.col("english_text").alias("source"), F.col("target_text").alias("target")
     )
-    found = sentence_align.align(cases, sentence_align.learn_sample(cases))
+    found = sentence_align.align(cases, sentence_align.learn_all(cases))
     return found.select(F.col("id").alias("case_id"), F.col("source_pos").alias("english_pos"), "target_pos", "gain")
 
 

@@ -5,7 +5,8 @@ of two neighbouring source clauses (so merges need no cut), or null. A clause's
 words of the state through a lexicon (Model 1 style), or from the background; null draws what the
 second-best clause explains too, so that names common to several clauses prove nothing. Transitions are
 jumps with a preference for the next clause, and may go anywhere (reordering) or to null (additions).
-The lexicon is learned from a bounded sample of the pairs by alternating alignment and counting.
+The lexicon is learned from all distinct pairs by alternating alignment and counting, both in the
+executors; the driver holds word frequencies and translations, which are bounded by shares.
 
 Batches of pairs are padded and decoded together; words are hashed, and all sums are array passes.
 """
@@ -17,14 +18,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rdfloom.llm.textvec import Words, mix
+from rdfloom.session import cut
 
 #: At most so many pairs are drawn to learn the lexicon.
 SAMPLE_PAIRS = 2_500
 ROUNDS = 3
+#: Expectation steps of Model 1 in each round.
+STEPS = 5
+#: Words of at least this share have their own frequency, hence at most 1 / LEAST_SHARE; others have this one.
+LEAST_SHARE = 1e-6
+#: Translations below this probability count as this probability in the next expectation step.
+PRUNED = 0.003
+#: So many translations a model has at most, those of the largest expected count.
+TRANSLATIONS = 2_000_000
 BACKGROUND = 0.12
 NULL, STAY, NEXT, SKIP, BACK = 0.1, 0.015, 0.55, 0.12, 0.06
 IDENTITY = 0.85
@@ -63,12 +74,13 @@ def clauses(text: str) -> tuple[list[str], list[int]]:
 class Lexicon:
     """Translations of hashed words: for each source word the target words and their probability."""
 
-    def __init__(self, source: np.ndarray, target: np.ndarray, probability: np.ndarray, background: tuple[np.ndarray, np.ndarray]) -> None:
+    def __init__(self, source: np.ndarray, target: np.ndarray, probability: np.ndarray, background: tuple[np.ndarray, np.ndarray], rare: float = 2e-5) -> None:
         order = np.argsort(source, kind="stable")
         self.words, first = np.unique(source[order], return_index=True)
         self.first = np.append(first, len(order))
         self.target, self.probability = target[order], probability[order]
         self.known, self.frequency = background
+        self.rare = rare
 
     def expand(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index of the source word, target word, probability), identity included."""
@@ -90,7 +102,7 @@ class Lexicon:
         if not len(self.known):
             return np.full(len(h), 1e-4)
         at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-        return np.where(self.known[at] == h, self.frequency[at], 2e-5)
+        return np.where(self.known[at] == h, self.frequency[at], self.rare)
 
 
 class Batch:
@@ -328,6 +340,130 @@ def learn_sample(texts: DataFrame, rows: int = SAMPLE_PAIRS) -> Lexicon:
     return learn([(r["source"], r["target"]) for r in drawn])
 
 
+def _parts(sources: list[str], targets: list[str]) -> Iterator[np.ndarray]:
+    """Indices of pairs to decode together: like sizes pad least."""
+    size = [len(s) + len(t) for s, t in zip(sources, targets, strict=True)]
+    order = np.argsort(size, kind="stable")
+    begin = 0
+    while begin < len(order):
+        end = begin
+        while end < len(order) and end - begin < PAIRS_AT_ONCE and (end == begin or (end - begin + 1) * size[order[end]] < 600_000):
+            end += 1
+        yield order[begin:end]
+        begin = end
+
+
+def _frequencies(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed words of either side, for sentences may stand untranslated, and their shares of all words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            word, n = np.unique(Words([*frame["source"], *frame["target"]]).hash, return_counts=True)
+            yield pd.DataFrame({"word": word.view(np.int64), "n": n})
+
+    counts = texts.select("source", "target").mapInPandas(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    share = (F.col("n") + 0.5) / F.lit(float(total + 1))
+    found = counts.select("word", share.alias("share")).where(F.col("share") >= LEAST_SHARE).toPandas()
+    word = found["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(word)
+    return word[order], found["share"].to_numpy(float)[order]
+
+
+def _links(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(source, target): the words of each aligned target clause and of its state; words on both sides need no lexicon."""
+    shared = texts.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            sources, targets = frame["source"].tolist(), frame["target"].tolist()
+            source, target = [], []
+            for part in _parts(sources, targets):
+                b = Batch([sources[i] for i in part], [targets[i] for i in part])
+                first, span, gain = decode(b, shared.value)
+                s_edge = np.searchsorted(b.s_unit, np.arange(b.s_first[-1] + 1))
+                t_edge = np.searchsorted(b.t_unit, np.arange(b.t_first[-1] + 1))
+                for u in np.flatnonzero((first >= 0) & (gain > 2.0)):
+                    a = b.s_first[b.t_pair[u]] + first[u]
+                    e, f = b.s_word[s_edge[a] : s_edge[a + span[u]]], b.t_word[t_edge[u] : t_edge[u + 1]]
+                    f = f[~np.isin(f, e)]
+                    if len(e) and len(f):
+                        source.append(e.view(np.int64))
+                        target.append(f.view(np.int64))
+            yield pd.DataFrame({"source": source, "target": target})
+
+    return texts.select("source", "target").mapInPandas(run, "source array<bigint>, target array<bigint>")
+
+
+def _expected(links: DataFrame, known: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+    """(s, t, n, c) of one expectation step: how often words meet and the expected count of the translation.
+
+    known: sorted keys of translations and their probabilities; without it all are equally likely. With it
+    only known translations have rows, and a row with NULL as t holds what a source word's others count.
+    """
+    shared = links.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            if not len(frame):
+                continue
+            e_size, f_size = frame["source"].map(len).to_numpy(), frame["target"].map(len).to_numpy()
+            e = np.concatenate(frame["source"].tolist()).view(np.uint64)
+            f = np.concatenate(frame["target"].tolist()).view(np.uint64)
+            clause = np.repeat(np.arange(len(frame)), f_size)
+            many = e_size[clause]
+            g = np.repeat(np.arange(len(f)), many)
+            s = e[np.repeat((np.cumsum(e_size) - e_size)[clause], many) + np.arange(len(g)) - np.repeat(np.cumsum(many) - many, many)]
+            t = f[g]
+            key = mix(s) ^ t
+            if shared.value is None:
+                x, kept = 1.0 / many[g], np.ones(len(g), bool)
+            else:
+                keys, p = shared.value
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                kept = keys[at] == key
+                x = np.where(kept, p[at], PRUNED)
+                x = x / np.bincount(g, x, minlength=len(f))[g]
+                other, of = np.unique(s[~kept], return_inverse=True)
+                yield pd.DataFrame({"s": other.view(np.int64), "t": pd.Series([None] * len(other), dtype="Int64"), "n": 0, "c": np.bincount(of, x[~kept], minlength=len(other))})
+            _, one, of = np.unique(key[kept], return_index=True, return_inverse=True)
+            n, c = np.bincount(of, minlength=len(one)), np.bincount(of, x[kept], minlength=len(one))
+            yield pd.DataFrame({"s": s[kept][one].view(np.int64), "t": pd.Series(t[kept][one].view(np.int64), dtype="Int64"), "n": n, "c": c})
+
+    counts = links.mapInPandas(run, "s bigint, t bigint, n bigint, c double").groupBy("s", "t").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+    p = F.col("c") / (F.sum("c").over(Window.partitionBy("s")) + 0.5)
+    return counts.withColumn("p", p).where(F.col("t").isNotNull() & (F.col("n") >= 2))
+
+
+def learn_all(texts: DataFrame, rounds: int = ROUNDS) -> Lexicon:
+    """A lexicon from all distinct pairs of texts, as ``learn`` has it, aligned and counted in the executors.
+
+    Between the steps of Model 1 only translations that come twice and reach PRUNED are kept.
+    """
+    pairs = cut(texts.where((F.length("source") > 0) & (F.length("target") > 0)).select("source", "target").distinct())
+    background = _frequencies(pairs)
+    none = np.zeros(0, np.uint64)
+    lexicon = Lexicon(none, none, np.zeros(0), background, LEAST_SHARE)
+    for _ in range(rounds):
+        links = _links(pairs, lexicon).persist(StorageLevel.DISK_ONLY)
+        known = None
+        for step in range(STEPS):
+            least = 0.03 if step == STEPS - 1 else PRUNED
+            found = _expected(links, known).where(F.col("p") >= least).orderBy(F.desc("c"), "s", "t").limit(TRANSLATIONS).select("s", "t", "p").toPandas()
+            s, t = (found[c].to_numpy(np.int64).view(np.uint64) for c in ("s", "t"))
+            p = found["p"].to_numpy(float)
+            if not len(s):
+                break
+            key = mix(s) ^ t
+            order = np.argsort(key)
+            known = key[order], p[order]
+        links.unpersist()
+        if not len(s):
+            break
+        lexicon = Lexicon(s, t, np.minimum(p, 0.9), background, LEAST_SHARE)
+    return lexicon
+
+
 def align(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(id, source_pos, target_pos, gain) of sentences that render each other; positions from 1.
 
@@ -340,15 +476,8 @@ def align(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
         known = shared.value
         for frame in batches:
             ids, sources, targets = (frame[c].tolist() for c in ("id", "source", "target"))
-            size = [len(s) + len(t) for s, t in zip(sources, targets, strict=True)]
-            order = np.argsort(size, kind="stable")  # like sizes pad least
             rows = []
-            begin = 0
-            while begin < len(order):
-                end = begin
-                while end < len(order) and end - begin < PAIRS_AT_ONCE and (end == begin or (end - begin + 1) * size[order[end]] < 600_000):
-                    end += 1
-                part = order[begin:end]
+            for part in _parts(sources, targets):
                 batch = Batch([sources[i] for i in part], [targets[i] for i in part])
                 first, span, gain = decode(batch, known)
                 for u in np.flatnonzero(first >= 0):
@@ -356,7 +485,6 @@ def align(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
                     j = batch.target[p][1][u - batch.t_first[p]]
                     for k in range(first[u], first[u] + span[u]):
                         rows.append((ids[part[p]], batch.source[p][1][k], j, float(gain[u])))
-                begin = end
             out = pd.DataFrame(rows, columns=["id", "source_pos", "target_pos", "gain"])
             yield out.groupby(["id", "source_pos", "target_pos"], as_index=False).max() if len(out) else out
 

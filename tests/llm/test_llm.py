@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rdfloom.llm import queries as llm_queries
 from rdfloom.llm import abuse, fm_index, langid, language_cases, leak, packing, pairs, quota_flow, sentence_align, split_overlap
 from rdfloom.llm.textvec import Words, hash_word
 
@@ -132,6 +133,26 @@ def test_alignment_of_planted_pairs(spark):
     assert sentence_align.align(frame.limit(0), sentence_align.learn([])).count() == 0
 
 
+def test_lexicon_of_all_texts(spark, tmp_path, monkeypatch):
+    places = ["Roma", "Lima", "Oslo", "Riga", "Baku", "Doha", "Kiev", "Bern", "Graz", "Gent"]
+    lead = lambda frame, i: " ".join(frame.format(f"Name{i}x{k}", places[k % 10]) for k in range(140))
+    data = [
+        (f"c{i}", f"{lead('{} was born near the harbour of {}.', i)} Name{i} worked as geologist.", f"{lead('{} nació junto al puerto de {}.', i)} Name{i} trabajó como geólogo.")
+        for i in range(12)
+    ]
+    assert min(len(x) for row in data for x in row[1:]) > 5_000
+    once = ("d", "Name90 was born near the harbour of Roma. Name90 likes oak.", "Name90 nació junto al puerto de Roma. Name90 quiere roble.")
+    spark.createDataFrame([*data, once, once, ("n", None, "x.")], "case_id string, english_text string, target_text string").write.parquet(str(tmp_path / "cases.parquet"))
+    seen, align = [], sentence_align.align
+    monkeypatch.setattr(sentence_align, "align", lambda texts, lexicon: seen.append(lexicon) or align(texts, lexicon))
+    assert llm_queries.p3_found(spark, str(tmp_path)).where("case_id = 'd'").count() == 2
+    # of words past any prefix, and a pair that comes twice counts once
+    target = lambda word: set(seen[0].expand(np.array([hash_word(word)], np.uint64))[1][1:].tolist())
+    assert hash_word("geologo") in target("geologist") and hash_word("puerto") in target("harbour") and not target("oak")
+    none = sentence_align.learn_all(spark.createDataFrame([], "id string, source string, target string"))
+    assert not len(none.words) and not len(none.known)
+
+
 def test_alignment_merges():
     pairs_ = [("Anna Vidal was born in Roma. Anna Vidal worked as a judge.", "Anna Vidal nació en Roma y además Anna Vidal trabajó de juez.")] * 5
     batch = sentence_align.Batch([s for s, _ in pairs_], [t for _, t in pairs_])

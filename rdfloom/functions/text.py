@@ -296,3 +296,21 @@ def forms_json(entries: Column) -> Column:
 def case_hash(key: Column) -> Column:
     """Twelve hexadecimal digits of SHA-256."""
     return F.substring(F.sha2(key, 256), 1, 12)
+
+
+#: Spellings of the codes, apart from case and region.
+SPELLINGS = {
+    "en": ("en", "eng", "english", "inglés", "anglès", "anglais"),
+    "es": ("es", "spa", "esp", "spanish", "español", "castellano", "castilian", "espanyol", "espagnol"),
+    "ca": ("ca", "cat", "catalan", "catalán", "català", "valencian", "valencià"),
+    "fr": ("fr", "fra", "fre", "french", "francés", "francès", "français"),
+}
+
+
+def label_code(label: Column) -> Column:
+    """The language a label names, whatever its spelling and region; NULL where it names none of SPELLINGS."""
+    base = F.element_at(F.split(F.regexp_replace(F.lower(label), "^[\\s\\u00a0]+|[\\s\\u00a0]+$", ""), "[-_ .@]"), 1)
+    out = F.lit(None).cast("string")
+    for code, spellings in SPELLINGS.items():
+        out = F.when(base.isin(*spellings), code).otherwise(out)
+    return out

@@ -20,6 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rdfloom.functions.text import label_code  # noqa: F401 - part of this module's interface
 from rdfloom.llm.phrases import REFUSALS, SEEDS
 from rdfloom.llm.textvec import FOLD, KIND, LOWER, UPPER, chunks, codes_of, distinct, mix, word_spans
 
@@ -37,24 +38,6 @@ RIDGE = 0.3
 #: with this confidence, if the text's own language gets at most the second value.
 LEAST_WORDS, LEAST_CONFIDENCE, LEFT_CONFIDENCE = 2, 0.6, 0.04
 
-#: Spellings of the codes, apart from case and region.
-SPELLINGS = {
-    "en": ("en", "eng", "english", "inglés", "anglès", "anglais"),
-    "es": ("es", "spa", "esp", "spanish", "español", "castellano", "castilian", "espanyol", "espagnol"),
-    "ca": ("ca", "cat", "catalan", "catalán", "català", "valencian", "valencià"),
-    "fr": ("fr", "fra", "fre", "french", "francés", "francès", "français"),
-}
-
-
-def label_code(label: Column) -> Column:
-    """The language a label names, whatever its spelling and region; NULL where it names none of LANGUAGES."""
-    base = F.element_at(F.split(F.regexp_replace(F.lower(label), "^[\\s\\u00a0]+|[\\s\\u00a0]+$", ""), "[-_ .@]"), 1)
-    out = F.lit(None).cast("string")
-    for code, spellings in SPELLINGS.items():
-        out = F.when(base.isin(*spellings), code).otherwise(out)
-    return out
-
-
 _STRONG = np.zeros(len(KIND), bool)
 _STRONG[[ord(c) for c in ".!?;\n\r|…"]] = True
 _ALWAYS = np.zeros(len(KIND), bool)

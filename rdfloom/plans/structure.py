@@ -107,8 +107,13 @@ def mapping_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.context_examples(rows, ["language", "source_normalized"], "target_normalized", "record_key")
 
 
+def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The examples with the code their label names as ``lang``, whatever its spelling."""
+    return table(spark, sf_dir, "examples").withColumn("lang", X.label_code(F.col("lang")))
+
+
 def outer_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "examples").dropDuplicates(["example_id"]).where(F.col("target").isNotNull())
+    rows = _examples(spark, sf_dir).dropDuplicates(["example_id"]).where(F.col("target").isNotNull())
     keys = ["split", "bucket", "xml_file", "eid", "lid"]
     return variation.outer_align(rows.where("lang = 'en'"), rows.where("lang = 'ca'"), keys, "target")
 
@@ -154,7 +159,7 @@ def triple_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = ["xml_path", "eid", "lid"]
-    lex = table(spark, sf_dir, "examples").where("lang = 'ca' and target is not null").select(F.concat_ws("/", "split", "bucket", "xml_file").alias("xml_path"), "eid", "lid", "target").groupBy(*key).agg(F.min("target").alias("text"))
+    lex = _examples(spark, sf_dir).where("lang = 'ca' and target is not null").select(F.concat_ws("/", "split", "bucket", "xml_file").alias("xml_path"), "eid", "lid", "target").groupBy(*key).agg(F.min("target").alias("text"))
     done = table(spark, sf_dir, "verbalisation_registry").where("upper(status) = 'OK' and final_ca is not null").select("xml_path", "eid", F.col("source_lid").alias("lid"), "final_ca", "processed_at").groupBy(*key).agg(F.max_by("final_ca", F.struct("processed_at", "final_ca")).alias("final_ca"))
     return registry.registry_sync(lex, done, key, "text", "final_ca").groupBy("action").agg(F.count("*").alias("rows"))
 
@@ -209,7 +214,7 @@ def generation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def in_all_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "examples").dropDuplicates(["example_id"]).where("lang in ('en', 'es', 'ca')")
+    rows = _examples(spark, sf_dir).dropDuplicates(["example_id"]).where("lang in ('en', 'es', 'ca')")
     key = F.concat_ws("|||", "split", "category", "eid").alias("align")
     return sampling.in_all_languages(rows.select("example_id", "lang", key), "align", "lang", 3)
 

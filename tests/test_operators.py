@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rdfloom.operators import generation, integrity, language, mapping, perturb, preservation, registry, review, sampling, statistics, variation
+from rdfloom.plans import structure
 
 
 def rows(frame):
@@ -232,3 +233,18 @@ def test_stress_more(spark):
     flags = spark.createDataFrame([(True, False), (False, False), (None, True)], "valid_target_language boolean, wrong_language_detected boolean")
     status = language.language_status(flags).first()
     assert abs(status.uncertain - 1 / 3) < 1e-12
+
+
+def test_languages_in_other_spellings(spark, tmp_path):
+    spelled = ["EN", "ca-ES", "spa", "eng", "CAT", "es_MX", " en-GB ", "ca", "ES", "klingon", None]
+    data = [(i, "dev", "b", "f.xml", f"e{i // 3}", "Id1", "City", f"text {i}", lang) for i, lang in enumerate(spelled)]
+    names = "example_id bigint, split string, bucket string, xml_file string, eid string, lid string, category string, target string, lang string"
+    spark.createDataFrame(data, names).write.parquet(str(tmp_path / "examples.parquet"))
+    done = [("dev/b/f.xml", f"e{i}", "Id1", "OK", new, datetime(2024, 1, 1)) for i, new in enumerate(["text 1", "other", "text 7"])]
+    names = "xml_path string, eid string, source_lid string, status string, final_ca string, processed_at timestamp"
+    spark.createDataFrame(done, names).write.parquet(str(tmp_path / "verbalisation_registry.parquet"))
+    aligned = structure.outer_align(spark, str(tmp_path)).select("eid", "source_text", "target_text", "duplicate_target")
+    assert sorted(rows(aligned)) == [(f"e{i}", f"text {3 * i}", f"text {3 * i + 1}", False) for i in range(3)]
+    found = sorted(rows(structure.in_all_languages(spark, str(tmp_path)).select("example_id", "lang")))
+    assert found == [(i, ("en", "ca", "es")[i % 3]) for i in range(9)]
+    assert sorted(rows(structure.registry_sync(spark, str(tmp_path)))) == [("unchanged", 2), ("updated", 1)]

@@ -145,9 +145,9 @@ def plausible_addition(rows: DataFrame) -> DataFrame:
 
 
 def with_donor(rows: DataFrame, donors: DataFrame) -> DataFrame:
-    """The rows with the text of their donor record; donors: (record, donor)."""
-    text = rows.groupBy(C("record").alias("donor"), "language").agg(F.min("target_text").alias("donor_text"))
-    return rows.join(donors, "record").join(text, ["donor", "language"]).where(F.length("donor_text") > 0)
+    """The rows with the text of their donor record; donors: (record, donor), or (record, language, donor)."""
+    text = rows.groupBy(C("record").alias("donor"), "language").agg(F.min(F.when(F.trim("target_text") != "", C("target_text"))).alias("donor_text"))
+    return rows.join(donors, [c for c in ("record", "language") if c in donors.columns]).join(text, ["donor", "language"]).where(F.length("donor_text") > 0)
 
 
 def wrong_record_text(rows: DataFrame, donors: DataFrame) -> DataFrame:
@@ -180,12 +180,22 @@ TYPES: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
 }
 
 
-def variants(rows: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """The clean rows and every chosen type's variants, with ``corruption_type`` and ``variant_id``; unchanged variants are dropped."""
+#: Types that need donors as well.
+DONOR_TYPES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
+    "qa2_wrong_record_text": wrong_record_text,
+    "qa2_unsupported_addition_unrelated": unrelated_addition,
+}
+
+
+def variants(rows: DataFrame, names: list[str] | None = None, donors: DataFrame | None = None) -> DataFrame:
+    """The clean rows and every chosen type's variants, with ``corruption_type`` and ``variant_id``; unchanged variants are dropped.
+
+    Without ``names`` all types are made, with ``donors`` (record, donor) those of DONOR_TYPES too.
+    """
     out = rows.withColumns({"corruption_type": F.lit("clean"), "variant_id": variant_id("clean", C("language"), C("record"), C("lid"), C("language"))})
     marked = rows.withColumn("_before", F.to_json(F.struct(*[c for c in rows.columns])))
-    for name in names or list(TYPES):
-        made = TYPES[name][0](marked)
+    for name in names or [*TYPES, *(DONOR_TYPES if donors is not None else ())]:
+        made = TYPES[name][0](marked) if name in TYPES else DONOR_TYPES[name](marked, donors)
         made = made.where(F.to_json(F.struct(*[c for c in rows.columns])) != C("_before")).select(*rows.columns)
         out = out.unionByName(
             made.withColumns({"corruption_type": F.lit(name), "variant_id": variant_id(name, C("language"), C("record"), C("lid"), C("language"))})
@@ -199,7 +209,7 @@ def manifest_issues(manifest: DataFrame) -> DataFrame:
         "blank_variant_id": F.coalesce(C("variant_id"), F.lit("")) == "",
         "blank_record": F.coalesce(C("record").cast("string"), F.lit("")) == "",
         "unknown_language": ~C("language").isin("es", "ca"),
-        "unknown_type": ~C("corruption_type").isin("clean", *TYPES),
+        "unknown_type": ~C("corruption_type").isin("clean", *TYPES, *DONOR_TYPES),
         "missing_triples": C("target_triples").isNull(),
         "missing_source": F.size("source_triples") < 1,
     }

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rdfloom.functions import similarity
-from rdfloom.operators import generation, language, perturb, preservation, registry, review, sampling, statistics, variation
+from rdfloom.functions.text import label_code
+from rdfloom.operators import generation, language, mapping, perturb, preservation, registry, review, sampling, statistics, variation
 from rdfloom.operators.integrity import entry_integrity
-from rdfloom.session import table
+from rdfloom.session import cut, table
 from rdfloom.streaming import streams
 
 
@@ -271,12 +272,38 @@ def language_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _stress_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "qa11_entries").dropDuplicates(["record_key", "language"])
+
+
 def _stress_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "qa11_entries").dropDuplicates(["record_key", "language"]).where("size(target_texts) > 0 and size(target_triples) > 0")
-    return rows.select(
-        F.col("record_key").alias("record"), F.coalesce(F.get("target_lids", F.lit(0)), F.lit("")).alias("lid"), "language", "source_triples", "target_triples", F.lit("").alias("source_text"),
-        F.coalesce(F.get("target_texts", F.lit(0)), F.lit("")).alias("target_text"), "target_lids", "target_texts", "english_lids", "expected_triple_count", F.lit(None).cast("int").alias("declared_size"), F.lit(False).alias("declared_size_valid"),
+    """One row for each lexicalisation of an entry, with the English text of the same lexicalisation id, '' if there is none.
+
+    An id that an entry has before gets its position, so that rows differ.
+    """
+    entries = _stress_entries(spark, sf_dir).where("size(target_texts) > 0 and size(target_triples) > 0")
+    key = ["xml_path", "eid", "own_lid"]
+    english = (
+        table(spark, sf_dir, "examples", "split", "bucket", "xml_file", "eid", "lid", "lang", "target")
+        .where((label_code(F.col("lang")) == "en") & (F.trim("target") != ""))
+        .groupBy(F.concat_ws("/", "split", "bucket", "xml_file").alias("xml_path"), "eid", F.col("lid").alias("own_lid"))
+        .agg(F.min("target").alias("source_text"))
+    )
+    one = entries.select("*", F.posexplode("target_texts").alias("at", "text")).withColumn("own_lid", F.coalesce(F.get("target_lids", F.col("at")), F.lit("")))
+    again = F.coalesce(F.array_position("target_lids", F.col("own_lid")) != F.col("at") + 1, F.lit(True))
+    rows = one.join(english, key, "left").select(
+        F.col("record_key").alias("record"), F.when(again, F.concat_ws("#", "own_lid", F.col("at") + 1)).otherwise(F.col("own_lid")).alias("lid"), "language", "source_triples", "target_triples",
+        F.coalesce("source_text", F.lit("")).alias("source_text"), F.coalesce("text", F.lit("")).alias("target_text"), "target_lids", "target_texts", "english_lids", "expected_triple_count",
+        F.lit(None).cast("int").alias("declared_size"), F.lit(False).alias("declared_size_valid"),
     )
+    return cut(rows)  # every type reads them
+
+
+def _stress_donors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(record, language, donor): donors are entries that have a text in the language."""
+    entries = _stress_entries(spark, sf_dir).where(F.exists("target_texts", lambda x: F.trim(x) != ""))
+    found = [variation.donor_select(entries.where(F.col("language") == x), "record_key", "expected_triple_count", "category").withColumn("language", F.lit(x)) for x in ("es", "ca")]
+    return cut(found[0].unionByName(found[1]).select(F.col("record_key").alias("record"), "language", "donor"))
 
 
 def stress_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,11 +313,16 @@ def stress_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stress_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return perturb.variants(_stress_rows(spark, sf_dir)).groupBy("corruption_type", "language").agg(F.count("*").alias("variants"))
+    """Variants of every type by language; of the inconsistency types the components that were changed."""
+    made = perturb.variants(_stress_rows(spark, sf_dir), donors=_stress_donors(spark, sf_dir)).select("corruption_type", "language")
+    components = mapping.component_rows(_stress_entries(spark, sf_dir), "record_key", "language").where("source_normalized <> '' and target_normalized <> ''")
+    changed = perturb.inconsistent_mappings(components, ["language", "component_type"], "source_normalized", "target_normalized", "record_key").where("changed")
+    kind = F.when(F.col("component_type") == "predicate", "qa1_predicate_inconsistency").otherwise("qa1_entity_inconsistency")
+    return made.unionByName(changed.select(kind.alias("corruption_type"), "language")).groupBy("corruption_type", "language").agg(F.count("*").alias("variants"))
 
 
 def manifest_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return perturb.manifest_issues(perturb.variants(_stress_rows(spark, sf_dir), ["qa1_delete_triple", "qa1_wrong_lid"]))
+    return perturb.manifest_issues(perturb.variants(_stress_rows(spark, sf_dir), donors=_stress_donors(spark, sf_dir)))
 
 
 def pivot_languages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rdfloom.operators import generation, integrity, language, mapping, perturb, preservation, registry, review, sampling, statistics, variation
-from rdfloom.plans import structure
+from rdfloom.plans import measures, structure
 
 
 def rows(frame):
@@ -248,3 +248,19 @@ def test_languages_in_other_spellings(spark, tmp_path):
     found = sorted(rows(structure.in_all_languages(spark, str(tmp_path)).select("example_id", "lang")))
     assert found == [(i, ("en", "ca", "es")[i % 3]) for i in range(9)]
     assert sorted(rows(structure.registry_sync(spark, str(tmp_path)))) == [("unchanged", 2), ("updated", 1)]
+
+
+def test_stress_rows_are_lexicalisations(spark, tmp_path):
+    entries = [
+        (f"dev/b/f.xml::e{i}", "dev/b/f.xml", f"c{i}", f"e{i}", "es", 1, ["Anna | birthYear | 1950"], ["Anna | año | 1950"], ["Id1", "Id2"], lids, [f"Anna {i} nació.", f"Anna {i} nació en 1950.", " "])
+        for i, lids in enumerate([["Id1", "Id2", "Id3"], ["Id1", "Id1", "Id3"], ["Id1"]])
+    ]
+    names = "record_key string, xml_path string, category string, eid string, language string, expected_triple_count int, source_triples array<string>, target_triples array<string>, english_lids array<string>, target_lids array<string>, target_texts array<string>"
+    spark.createDataFrame(entries, names).write.parquet(str(tmp_path / "qa11_entries.parquet"))
+    english = [("dev", "b", "f.xml", f"e{i}", "Id2", lang, text) for i, lang, text in [(0, "en-GB", "Anna 0 was born in 1950."), (0, "ENG", "Anna 0 was born in 1950."), (1, "es", "no"), (2, None, "no")]]
+    spark.createDataFrame(english, "split string, bucket string, xml_file string, eid string, lid string, lang string, target string").write.parquet(str(tmp_path / "examples.parquet"))
+    made = {r.corruption_type: r.variants for r in measures.stress_variants(spark, str(tmp_path)).collect()}
+    assert made["clean"] == 9 and made["qa2_literal_text_only"] == 3 and made["qa3_full_english_copy"] == made["qa3_english_clause_insertion"] == 1
+    assert made["qa2_wrong_record_text"] == made["qa2_unsupported_addition_unrelated"] == 9
+    assert measures.manifest_issues(spark, str(tmp_path)).count() == 0
+    assert {r.corruption_type: r.variants for r in measures.stress_detection(spark, str(tmp_path)).collect()}["qa1_wrong_lid"] == 9

@@ -1,12 +1,14 @@
 """Abusive, hateful and sexual language: FTRL-proximal logistic regression per kind.
 
 Features of a sentence are hashed word n-grams (one to three words) and skip-grams (two words with
-one or two between). Per-coordinate learning rates and L1 sparsity leave a table of weights that is
-small enough to go to every executor; a document's score of a kind is that of its worst sentence.
-
-The fit uses training sentences (``abuse_seeds``), and raters' labels from a bounded sample: labels
-hold for documents and are partly wrong, so of a document labelled with a kind only its sentence of
-the highest score is learned, and documents without a sentence the model is sure of are left out.
+one or two between). Per-coordinate learning rates and L1 sparsity leave few weights that are not zero;
+only those go to the executors. A document's score of a kind is that of its worst sentence.
+
+The first model comes from training sentences (``abuse_seeds``) and raters' labels teach the rest. Labels
+hold for whole documents and some are wrong. So of a document labelled with a kind the sentence is learned
+that the model, or what it shares with other documents of the kind and not with plain ones, points at;
+documents without such a sentence take no part. Sentences of plain documents are learned as plain unless
+they look like a kind. Thresholds are calibrated on labelled documents held out from the fit.
 """
 
 from __future__ import annotations
@@ -24,20 +26,26 @@ from rdfloom.llm.textvec import FOLD, KIND, chunks, codes_of, distinct, hash_run
 
 KINDS = ("abusive", "hateful", "sexual")
 BITS = 20
-#: At most so many labelled documents, and so many without a label, take part in the fit.
-LABELLED, BACKGROUND = 2_500, 300
-#: Only so many characters of such a document take part in the fit.
-FIT_CHARACTERS = 6_000
+#: At most so many labelled texts and so many others, all distinct and whole, take part in the fit.
+LABELLED, BACKGROUND = 4_000, 1_000
 #: Learning rate, its offset, L1 and L2 of FTRL-proximal.
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.15, 0.3
-EPOCHS = 4
-#: A sentence of a document without label, or labelled as clean, is learned as plain below this score, for
-#: labels are partly wrong. How often it occurs proves nothing: an insult may be copied into any share of the rows.
-UNSURE = 0.3
-#: A labelled document's best sentence is learned for its label from this score on.
-SURE = 0.5
-#: A score from which a kind is reported.
-THRESHOLD = 0.6
+EPOCHS, BATCH = 4, 128
+#: Rows the learner errs on by less take no step in an epoch.
+EASY = 0.05
+#: The logit of a sentence without known features: few sentences are of any kind.
+PRIOR = -3.0
+#: Weight of a plain sentence.
+PLAIN_WEIGHT = 1.0
+#: The evidence of a sentence is the model's logit plus the logarithm of the likelihood ratio of how often its features
+#: come in other documents of the kind, against plain ones. A labelled document's best sentence is learned for its
+#: label where the evidence is beyond that of so many plain documents. A document rated plain keeps back from learning
+#: sentences with the second part alone beyond that, a document without label those with the evidence beyond it.
+BEYOND = 0.975
+
+#: Labelled documents are held out in so many parts for the thresholds, which lie in this range and are the
+#: middle one where fewer than the last number of held-out documents have the kind.
+FOLDS, LOW, MIDDLE, HIGH, FEW = 3, 0.35, 0.5, 0.8, 10
 
 _LEET = {ord(a): ord(b) for a, b in zip("@$013457!", "asoieasti", strict=True)}
 
@@ -154,12 +162,27 @@ def _rows(found: Sentences) -> list[np.ndarray]:
     return [b[edges[i] : edges[i + 1]] for i in range(len(edges) - 1)]
 
 
+class Rows:
+    """Distinct features of many sentences, one after the other."""
+
+    def __init__(self, rows: list[np.ndarray]) -> None:
+        self.size = np.array([len(r) for r in rows], np.int64)
+        self.flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.size)])
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Features of the chosen rows, and the place of each one's row among them."""
+        size = self.size[which]
+        own = np.repeat(np.arange(len(which)), size)
+        return self.flat[np.repeat(self.first[which] - np.cumsum(size) + size, size) + np.arange(size.sum())], own
+
+
 class Ftrl:
-    """FTRL-proximal logistic regression with one output per kind."""
+    """FTRL-proximal logistic regression with one output per kind, learned in small batches."""
 
-    def __init__(self) -> None:
-        self.z = np.zeros((1 << BITS, len(KINDS)), np.float32)
-        self.n = np.zeros((1 << BITS, len(KINDS)), np.float32)
+    def __init__(self, width: int) -> None:
+        self.z = np.zeros((width, len(KINDS)), np.float32)
+        self.n = np.zeros((width, len(KINDS)), np.float32)
         self.bias_z, self.bias_n = np.zeros(len(KINDS)), np.zeros(len(KINDS))
 
     def weights(self, at: np.ndarray | slice) -> np.ndarray:
@@ -167,36 +190,43 @@ class Ftrl:
         return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
     def bias(self) -> np.ndarray:
-        return -self.bias_z / ((BETA + np.sqrt(self.bias_n)) / ALPHA)
-
-    def learn(self, at: np.ndarray, y: np.ndarray, importance: float = 1.0) -> None:
-        w, b = self.weights(at), self.bias()
-        p = 1 / (1 + np.exp(-np.clip(w.sum(0) + b, -35, 35)))
-        g = (p - y) * importance
-        n = self.n[at]
+        return PRIOR - self.bias_z / ((BETA + np.sqrt(self.bias_n)) / ALPHA)
+
+    def learn(self, flat: np.ndarray, own: np.ndarray, y: np.ndarray, importance: np.ndarray) -> None:
+        names, back = np.unique(flat, return_inverse=True)
+        w, b = self.weights(names), self.bias()
+        each = w[back]
+        total = np.stack([np.bincount(own, each[:, k], minlength=len(y)) for k in range(len(KINDS))], 1)
+        error = (1 / (1 + np.exp(-np.clip(total + b, -35, 35))) - y) * importance[:, None]
+        g = np.stack([np.bincount(back, error[own, k], minlength=len(names)) for k in range(len(KINDS))], 1)
+        n = self.n[names]
         sigma = (np.sqrt(n + g * g) - np.sqrt(n)) / ALPHA
-        self.z[at] += g - sigma * w
-        self.n[at] += g * g
-        sigma = (np.sqrt(self.bias_n + g * g) - np.sqrt(self.bias_n)) / ALPHA
-        self.bias_z += g - sigma * b
-        self.bias_n += g * g
+        self.z[names] += g - sigma * w
+        self.n[names] += g * g
+        e = error.sum(0)
+        sigma = (np.sqrt(self.bias_n + e * e) - np.sqrt(self.bias_n)) / ALPHA
+        self.bias_z += e - sigma * (b - PRIOR)
+        self.bias_n += e * e
+
+    def copy(self) -> Ftrl:
+        out = Ftrl(0)
+        out.z, out.n, out.bias_z, out.bias_n = self.z.copy(), self.n.copy(), self.bias_z.copy(), self.bias_n.copy()
+        return out
 
 
-def seed_sentences(rng: np.random.Generator, copies: int = 3) -> tuple[list[str], list[int]]:
+def seed_sentences(rng: np.random.Generator, copies: int = 6, frames: dict | None = None, neutral: dict | None = None) -> tuple[list[str], list[int]]:
     """Training sentences with their slots filled, some of them masked, capitalised or spelled out; kind -1 is none."""
     texts, kinds = [], []
 
     def fill(frame: str, language: str) -> str:
-        insult = seeds.INSULTS[language].split()
-        groups = seeds.GROUPS[language].split("|")
-        vermin = seeds.VERMIN[language].split()
-        pick = lambda x: x[rng.integers(len(x))]
-        while "{" in frame:
-            frame = frame.replace("{i}", pick(insult), 1).replace("{g}", pick(groups), 1).replace("{v}", pick(vermin), 1).replace("{n}", pick(seeds.NAMES), 1)
+        for slot, words in seeds.SLOTS[language].items():
+            choice = words.split("|")
+            while "{" + slot + "}" in frame:
+                frame = frame.replace("{" + slot + "}", choice[rng.integers(len(choice))], 1)
         return frame[0].upper() + frame[1:]
 
     def disguise(text: str) -> str:
-        style = rng.integers(6)
+        style = rng.integers(8)
         if style > 1:
             return text
         words = text.split()
@@ -207,106 +237,77 @@ def seed_sentences(rng: np.random.Generator, copies: int = 3) -> tuple[list[str]
         words[i] = words[i][0] + "*" * (len(words[i].rstrip(".,")) - 1) if style else "-".join(words[i])
         return " ".join(words)
 
-    for kind, by_language in seeds.POSITIVE.items():
-        for language, frames in by_language.items():
-            for frame in frames:
-                for _ in range(copies):
+    for kind, by_language in (frames or seeds.POSITIVE).items():
+        for language, known in by_language.items():
+            for frame in known:
+                for _ in range(copies if "{" in frame else 4):
                     texts.append(disguise(fill(frame, language)))
                     kinds.append(KINDS.index(kind))
-    for language, frames in seeds.NEUTRAL.items():
-        for frame in frames:
-            for _ in range(2 * copies):
+    for language, known in (neutral or seeds.NEUTRAL).items():
+        for frame in known:
+            for _ in range(2 * copies if "{" in frame else 4):
                 texts.append(fill(frame, language))
                 kinds.append(-1)
     return texts, kinds
 
 
 class AbuseModel:
-    """Sparse weights, one column a kind, and a threshold each."""
+    """The weights that are not zero, one column a kind, and a threshold each."""
 
-    def __init__(self, weights: np.ndarray, bias: np.ndarray, thresholds: np.ndarray) -> None:
-        self.weights, self.bias, self.thresholds = weights, bias, thresholds
+    def __init__(self, buckets: np.ndarray, weights: np.ndarray, bias: np.ndarray, thresholds: np.ndarray) -> None:
+        self.buckets, self.weights, self.bias, self.thresholds = buckets, weights, bias, thresholds
+        self._table: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_table": None}
+
+    def table(self) -> np.ndarray:
+        """All buckets' weights, laid out where they are used."""
+        if self._table is None:
+            self._table = np.zeros((len(KINDS), 1 << BITS), np.float32)
+            self._table[:, self.buckets] = self.weights.T
+        return self._table
 
     @classmethod
-    def fit(cls, labelled: list[tuple[str, list[str]]], background: list[str], seed: int = 3) -> AbuseModel:
-        """labelled: (text, labels of its raters); background: texts without labels."""
+    def fit(cls, labelled: list[tuple[str, list[list[str]]]], seed: int = 3, frames: dict | None = None, neutral: dict | None = None) -> AbuseModel:
+        """labelled: (text, labels, one list for each rater); an empty list of raters stands for a text without label."""
         rng = np.random.default_rng(seed)
-        texts, kinds = seed_sentences(rng)
+        texts, kinds = seed_sentences(rng, frames=frames, neutral=neutral)
         cut = sentences(texts)
-        rows, owner = _rows(cut), cut.sentence_text
-        target = np.zeros((len(rows), len(KINDS)))
-        for i, t in enumerate(owner):
-            if kinds[t] >= 0:
-                target[i, kinds[t]] = 1
-        weight = np.ones(len(rows))
-        # plain sentences: of documents that no rater objects to, and of unlabelled ones
-        calm = [t for t, labels in labelled if set(labels) <= {"none"}][:BACKGROUND] + background
-        # a line that many of them hold is learned once
-        plain_rows = list({r.tobytes(): r for r in _rows(sentences(calm))}.values())
-        model = cls._train(rows, target, weight, rng)
-        for last in (False, True):
-            more, more_target, more_weight = list(rows), [target], [weight]
-            if plain_rows:
-                use = np.flatnonzero(model._probability(plain_rows).max(1) < UNSURE)
-                more += [plain_rows[i] for i in use]
-                more_target.append(np.zeros((len(use), len(KINDS))))
-                more_weight.append(np.full(len(use), 0.5))
-            if last:
-                found, found_target = model._from_labels(labelled)
-                more += found
-                more_target.append(found_target)
-                more_weight.append(np.ones(len(found)))
-            model = cls._train(more, np.concatenate(more_target), np.concatenate(more_weight), rng)
-        return model
-
-    @classmethod
-    def _train(cls, rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> AbuseModel:
-        learner = Ftrl()
-        for _ in range(EPOCHS):
-            for i in rng.permutation(len(rows)):
-                learner.learn(rows[i], target[i], weight[i])
-        return cls(learner.weights(slice(None)).astype(np.float32), learner.bias(), np.full(len(KINDS), THRESHOLD))
-
-    def _probability(self, rows: list[np.ndarray]) -> np.ndarray:
-        size = np.array([len(r) for r in rows])
-        own = np.repeat(np.arange(len(rows)), size)
-        flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        out = np.stack([np.bincount(own, self.weights[flat, k], minlength=len(rows)) for k in range(len(KINDS))], 1)
-        return 1 / (1 + np.exp(-np.clip(out + self.bias, -35, 35)))
-
-    def _from_labels(self, labelled: list[tuple[str, list[str]]]) -> tuple[list[np.ndarray], np.ndarray]:
-        """Of each labelled document the sentence that scores highest for its label, if the model is sure of it."""
-        texts = [t for t, _ in labelled]
-        if not texts:
-            return [], np.zeros((0, len(KINDS)))
-        found = sentences(texts)
-        rows = _rows(found)
-        p = self._probability(rows)
-        text = found.sentence_text
-        out, target = [], []
-        for k, kind in enumerate(KINDS):
-            with_kind = np.array([kind in labels for _, labels in labelled])
-            order = np.argsort(text, kind="stable")
-            edges = np.searchsorted(text[order], np.arange(len(texts) + 1))
-            for d in np.flatnonzero(with_kind):
-                mine = order[edges[d] : edges[d + 1]]
-                if not len(mine):
-                    continue
-                best = mine[p[mine, k].argmax()]
-                if p[best, k] >= SURE and p[best, k] == p[best].max():
-                    out.append(rows[best])
-                    y = np.zeros(len(KINDS))
-                    y[k] = 1
-                    target.append(y)
-        return out, np.array(target).reshape(-1, len(KINDS))
+        seed_rows = _rows(cut)
+        seed_y = np.zeros((len(seed_rows), len(KINDS)))
+        known = np.array(kinds)[cut.sentence_text]
+        seed_y[known >= 0, known[known >= 0]] = 1
+        found = sentences([t for t, _ in labelled])
+        bags = found.sentence_text
+        # how many raters say so, and whether any does; raters who disagree make half a label
+        share = np.array([[sum(k in rater for rater in raters) / max(1, len(raters)) for k in KINDS] for _, raters in labelled]).reshape(-1, len(KINDS))
+        plain = np.array([all(set(rater) <= {"none"} for rater in raters) for _, raters in labelled], bool)
+        rows = Rows(seed_rows + _rows(found))
+        names, dense = np.unique(rows.flat, return_inverse=True)
+        rows.flat = dense
+        rated = np.array([bool(raters) for _, raters in labelled], bool)
+        fit = _Fit(rows, len(names), seed_y, bags, share, plain, rated, rng)
+        everything = np.ones(len(labelled), bool)
+        learner, held = fit.run(everything), np.zeros((len(labelled), len(KINDS)))
+        thresholds = np.full(len(KINDS), MIDDLE)
+        if len(labelled):
+            part = rng.integers(FOLDS, size=len(labelled))
+            for f in range(FOLDS if ((share > 0).sum(0) >= FEW).any() else 0):
+                held[part == f] = fit.documents(fit.run(part != f, 1))[part == f]
+            thresholds = np.array([_threshold(held[rated, k], share[rated, k]) if (share[:, k] > 0).sum() >= FEW else MIDDLE for k in range(len(KINDS))])
+        weights = learner.weights(slice(None)).astype(np.float32)
+        kept = weights.any(1)
+        return cls(names[kept], weights[kept], learner.bias(), thresholds)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """The probability of each kind in the worst sentence of each text; 0 where there are no words."""
         out = np.zeros((len(texts), len(KINDS)))
+        table = self.table()
         for low, high in chunks(texts):
             found = sentences(texts[low:high])
             for k in range(len(KINDS)):
-                w = self.weights[found.bucket, k]
+                w = table[k][found.bucket]
                 for part, text in ((found.sentence, found.sentence_text), (found.line, found.line_text)):
                     if not len(text):
                         continue
@@ -316,23 +317,133 @@ class AbuseModel:
         return out
 
 
+class _Fit:
+    """Learning from training sentences and labelled documents; rows of the latter follow those of the former."""
+
+    def __init__(self, rows: Rows, width: int, seed_y: np.ndarray, bags: np.ndarray, share: np.ndarray, plain: np.ndarray, rated: np.ndarray, rng: np.random.Generator) -> None:
+        self.rows, self.width, self.seed_y, self.bags, self.share, self.plain, self.rated, self.rng = rows, width, seed_y, bags, share, plain, rated, rng
+        self.base = len(seed_y)
+        # one sentence that many documents hold is one row to learn
+        content = np.array([hash(rows.flat[a:b].tobytes()) for a, b in zip(rows.first[self.base : -1], rows.first[self.base + 1 :], strict=True)], np.int64)
+        _, self.same = np.unique(content, return_inverse=True)
+        self.flat, self.own = rows.take(np.arange(self.base, len(rows.size)))
+        key = distinct(bags[self.own].astype(np.uint64) * np.uint64(width) + self.flat.astype(np.uint64))
+        self.pair_bag, self.pair_feature = (key // np.uint64(width)).astype(np.int64), (key % np.uint64(width)).astype(np.int64)
+        self.first = self.train(Ftrl(width), np.arange(self.base), seed_y, np.ones(self.base))
+
+    def train(self, learner: Ftrl, at: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Ftrl:
+        for _ in range(EPOCHS):
+            error = np.abs(self.predict(learner, at) - y).max(1)
+            order = self.rng.permutation(np.flatnonzero(error >= EASY))
+            for begin in range(0, len(order), BATCH):
+                part = order[begin : begin + BATCH]
+                learner.learn(*self.rows.take(at[part]), y[part], weight[part])
+        return learner
+
+    def predict(self, learner: Ftrl, at: np.ndarray) -> np.ndarray:
+        flat, own = self.rows.take(at)
+        w = learner.weights(slice(None))
+        total = np.stack([np.bincount(own, w[flat, k], minlength=len(at)) for k in range(len(KINDS))], 1) + learner.bias()
+        return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
+
+    def probability(self, learner: Ftrl) -> np.ndarray:
+        """Of every sentence of the labelled documents."""
+        return self.predict(learner, np.arange(self.base, len(self.rows.size)))
+
+    def documents(self, learner: Ftrl) -> np.ndarray:
+        out = np.zeros((len(self.share), len(KINDS)))
+        np.maximum.at(out, self.bags, self.probability(learner))
+        return out
+
+    def support(self, used: np.ndarray) -> np.ndarray:
+        """Of every sentence and kind: the mean of its three best features' logarithmic likelihood ratios, the own document aside."""
+        flat, own, b, f = self.flat, self.own, self.pair_bag, self.pair_feature
+        bag, first = self.bags[own], self.rows.first[self.base : -1] - self.rows.first[self.base]
+        calm = self.plain & used
+        less = np.bincount(f, calm[b], minlength=self.width)
+        out = np.zeros((len(self.bags), len(KINDS)))
+        for k in range(len(KINDS)):
+            mine = (self.share[:, k] > 0) & used
+            often = np.bincount(f, mine[b], minlength=self.width)[flat] - mine[bag]
+            at = np.flatnonzero(often > 0)
+            expected = (less[flat[at]] + 0.5) / (calm.sum() + 1) * max(1, mine.sum() - 1)
+            ratio = often[at] * np.log(often[at] / expected) - (often[at] - expected)
+            rate = np.zeros(len(flat))
+            rate[at] = np.where(often[at] > expected, ratio, 0.0)
+            for _ in range(3):  # the best, the second and the third
+                top = np.maximum.reduceat(rate, first)
+                out[:, k] += top / 3
+                hit = np.flatnonzero((rate > 0) & (rate == top[own]))
+                rate[hit[np.concatenate([[True], own[hit[1:]] != own[hit[:-1]]])] if len(hit) else hit] = 0.0
+        return out
+
+    def beyond(self, value: np.ndarray, used: np.ndarray) -> np.ndarray:
+        """The value that the best sentences of so many plain documents do not reach."""
+        highest = np.full((len(self.share), len(KINDS)), -np.inf)
+        np.maximum.at(highest, self.bags, value)
+        highest = highest[self.plain & used & np.isfinite(highest[:, 0])]
+        return np.quantile(highest, BEYOND, axis=0) if len(highest) else np.zeros(len(KINDS))
+
+    def run(self, used: np.ndarray, rounds: int = 2) -> Ftrl:
+        """A model from the training sentences and the documents used."""
+        ones, learner = np.ones(self.base), self.first
+        if not len(self.bags):
+            return learner
+        support = self.support(used)
+        calm = np.flatnonzero((self.plain & used)[self.bags])
+        calm = calm[np.unique(self.same[calm], return_index=True)[1]]
+        for _ in range(rounds):
+            p = self.probability(learner)
+            value = np.log(p + 1e-9) - np.log(1 - p + 1e-9) + support
+            least, own_least = np.maximum(self.beyond(value, used), 0.0), self.beyond(support, used)
+            at, y, weight = [np.arange(self.base)], [self.seed_y], [ones]
+            plain = calm[np.where(self.rated[self.bags[calm], None], support[calm] <= own_least, value[calm] <= least).all(1)]
+            at.append(self.base + plain)
+            y.append(np.zeros((len(plain), len(KINDS))))
+            weight.append(np.full(len(plain), PLAIN_WEIGHT))
+            for k in range(len(KINDS)):
+                inside = np.flatnonzero(((self.share[:, k] > 0) & used)[self.bags])
+                if not len(inside):
+                    continue
+                order = inside[np.lexsort((-value[inside, k], self.bags[inside]))]
+                best = order[np.concatenate([[True], self.bags[order[1:]] != self.bags[order[:-1]]])]
+                best = best[value[best, k] > least[k]]
+                at.append(self.base + best)
+                y.append(np.eye(len(KINDS))[np.full(len(best), k)])
+                weight.append(0.5 + 0.5 * self.share[self.bags[best], k])
+            learner = self.train(self.first.copy(), np.concatenate(at), np.concatenate(y), np.concatenate(weight))
+        return learner
+
+
+def _threshold(p: np.ndarray, share: np.ndarray) -> float:
+    """The threshold of best F1 on held-out documents; the middle of those that are equally good."""
+    grid = np.linspace(LOW, HIGH, 19)
+    f1 = np.array([2 * share[p >= t].sum() / max(1e-9, (p >= t).sum() + share.sum()) for t in grid])
+    return float(np.median(grid[f1 >= f1.max() - 1e-9]))
+
+
 def fit_sample(documents: DataFrame, labels: DataFrame) -> AbuseModel:
-    """A model from raters' labels; at most LABELLED labelled texts and BACKGROUND others, those of least hash.
+    """A model from raters' labels of at most LABELLED texts, and at most BACKGROUND others, those of least hash, all whole.
 
     Documents with the same text are one text with all their labels, so copies take no place of another text.
     """
-    texts = documents.where(F.length("text") > 0).select("doc_id", F.substring("text", 1, FIT_CHARACTERS).alias("text")).withColumn("h", F.xxhash64("text", F.lit(9)))
-    by_document = (
+    by_rater = (
         labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
-        .groupBy("doc_id")
-        .agg(F.collect_set(F.lower(F.trim("label"))).alias("labels"))
+        .select("doc_id", F.coalesce(F.col("rater"), F.lit("")).alias("rater"), F.lower(F.trim("label")).alias("label"))
+        .distinct()
     )
-    by_text = by_document.join(texts.select("doc_id", "h"), "doc_id").select("h", F.explode("labels").alias("label")).groupBy("h").agg(F.collect_set("label").alias("labels"))
-    labelled = [(r["h"], sorted(r["labels"])) for r in by_text.orderBy("h").limit(LABELLED).collect()]
-    others = [r["h"] for r in texts.select("h").distinct().orderBy("h").limit(BACKGROUND).collect()]
-    drawn = texts.where(F.col("h").isin([*{h for h, _ in labelled}.union(others)])).groupBy("h").agg(F.min("text").alias("text")).collect()
-    text = {r["h"]: r["text"] for r in drawn}
-    return AbuseModel.fit([(text[h], found) for h, found in labelled], [text[h] for h in others])
+    texts = documents.where(F.length("text") > 0).select("doc_id", "text", F.xxhash64("text", F.lit(9)).alias("h"))
+    said = texts.select("doc_id", "h").join(by_rater, "doc_id").groupBy("h").agg(F.collect_set(F.struct("rater", "label")).alias("said"))
+    raters: dict[int, list[list[str]]] = {}
+    for r in said.orderBy("h").limit(LABELLED).collect():
+        by: dict[str, set[str]] = {}
+        for s in r["said"]:
+            by.setdefault(s["rater"], set()).add(s["label"])
+        raters[r["h"]] = [sorted(by[k]) for k in sorted(by)]
+    for r in texts.select("h").distinct().orderBy("h").limit(BACKGROUND).collect():
+        raters.setdefault(r["h"], [])
+    drawn = texts.where(F.col("h").isin(list(raters))).groupBy("h").agg(F.min("text").alias("text")).collect() if raters else []
+    return AbuseModel.fit([(r["text"], raters[r["h"]]) for r in sorted(drawn, key=lambda r: r["h"])])
 
 
 def score_documents(documents: DataFrame, model: AbuseModel, *keep: str) -> DataFrame:

@@ -135,7 +135,7 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _abuse_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, abuse.AbuseModel]:
     documents = table(spark, sf_dir, "documents", "doc_id", "text", "source")
-    model = abuse.fit_sample(documents, table(spark, sf_dir, "review_labels", "doc_id", "label"))
+    model = abuse.fit_sample(documents, table(spark, sf_dir, "review_labels", "doc_id", "rater", "label"))
     return abuse.score_documents(documents, model, "source"), model
 
 

@@ -126,6 +126,12 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "text"))
 
 
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, first_word, last_word, items): the spans to take out of each document, words counted from 1, and the items they come from."""
+    found = leak.passages(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "text"))
+    return leak.removal_spans(found)
+
+
 def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, split, lang, category, documents): every evaluation item and in how many documents it leaked."""
     counts = p8_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"))
@@ -169,6 +175,7 @@ QUERIES = {
     "p7_assign": p7_assign,
     "p7_fill": p7_fill,
     "p8_found": p8_found,
+    "p8_spans": p8_spans,
     "p8_items": p8_items,
     "p9_found": p9_found,
     "p9_scores": p9_scores,

@@ -28,11 +28,16 @@ LANGUAGES = ("en", "es", "ca", "fr")
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 18
 #: The fit uses at most so many segments of each language, and so many of them as landmarks.
-SEGMENTS, LANDMARKS = 1_500, 250
+SEGMENTS, LANDMARKS = 2_500, 400
+#: So many segments of a text, drawn from all of it, are taken before further ones of any text.
+TURN = 12
 #: At most so many labelled rows of each language and table are drawn for the fit.
 SAMPLE_ROWS = 250
-#: Only so many characters of a labelled text take part in the fit.
-SAMPLE_CHARACTERS = 2_000
+#: A segment of so many words or more is of no known language if its best score is below all but this share of
+#: held-out segments.
+OTHER_WORDS, OTHER_SHARE = 4, 0.002
+#: What such segments are labelled with.
+OTHER = "und"
 RIDGE = 0.3
 #: A segment is running text with so many words. It is in another language than most of its text
 #: with this confidence, if the text's own language gets at most the second value.
@@ -137,8 +142,8 @@ class Found(NamedTuple):
 class LanguageModel:
     """Kernel ridge classifier on Nyström landmarks, folded into a table of n-gram by class."""
 
-    def __init__(self, table: np.ndarray, classes: tuple[str, ...], sharpness: float) -> None:
-        self.table, self.classes, self.sharpness = table, classes, sharpness
+    def __init__(self, table: np.ndarray, classes: tuple[str, ...], sharpness: float, floor: float = -np.inf) -> None:
+        self.table, self.classes, self.sharpness, self.floor = table, classes, sharpness, floor
 
     @classmethod
     def fit(cls, texts: list[str], labels: list[str], seed: int = 11) -> LanguageModel:
@@ -153,6 +158,13 @@ class LanguageModel:
         own = np.array([classes.index(x) for x in labels] * 2)[found.text]
         order = np.random.default_rng(seed).permutation(len(own))
         order = order[found.words[order] >= LEAST_WORDS]
+        # TURN segments of every text before further ones of any, so that long texts do not stand for all
+        by_text = order[np.argsort(found.text[order], kind="stable")]
+        start = np.concatenate([[True], found.text[by_text[1:]] != found.text[by_text[:-1]]]) if len(by_text) else np.zeros(0, bool)
+        turn = np.arange(len(by_text)) - np.maximum.accumulate(np.where(start, np.arange(len(by_text)), 0))
+        rank = np.empty(len(own), np.int64)
+        rank[by_text] = turn
+        order = order[np.argsort(rank[order] // TURN, kind="stable")]
         chosen = np.concatenate([order[own[order] == c][:SEGMENTS] for c in range(len(classes))])
         marks = np.concatenate([order[own[order] == c][:LANDMARKS] for c in range(len(classes))])
         held = np.random.default_rng(seed + 1).random(len(chosen)) < 0.15
@@ -179,14 +191,16 @@ class LanguageModel:
             return np.linalg.solve(part.T @ part + RIDGE * middle + 1e-6 * np.eye(len(marks)), part.T @ y[rows])
 
         trial = k[held] @ solve(~held)
-        sharpness = 1.0
+        sharpness, floor = 1.0, -np.inf
         if len(trial):
+            enough = trial.max(1)[found.words[chosen[held]] >= OTHER_WORDS]
+            floor = float(np.quantile(enough, OTHER_SHARE)) if len(enough) else -np.inf
             grid = [1, 2, 3, 4, 6, 8, 12]
             sharpness = min(grid, key=lambda s: -np.log(_softmax(trial * s)[np.arange(len(trial)), own[chosen][held]] + 1e-9).mean())
         weights = solve(np.ones(len(chosen), bool))
         table = np.zeros((BUCKETS, len(classes)), np.float32)
         table[grams] = z @ weights.astype(np.float32)
-        return cls(table, classes, float(sharpness))
+        return cls(table, classes, float(sharpness), floor)
 
     def scores(self, found: Segments) -> np.ndarray:
         """Regression value of each segment and class."""
@@ -235,14 +249,26 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def sample_labelled(frame: DataFrame, key: str, text: str, label: Column, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str]]:
-    """At most ``rows`` texts of each language, the ones whose key has the least hash."""
+    """At most ``rows`` texts of each language, whole, the ones whose key has the least hash.
+
+    The labels are counted first; a bound on the hash then lets about twice as many rows of each language through to
+    the driver, where those of least hash are taken. Nothing is sorted or shuffled but the counts.
+    """
     known = frame.select(F.col(text).alias("t"), label.alias("l"), F.xxhash64(F.col(key).cast("string"), F.lit(7)).alias("h")).where(
-        F.col("l").isNotNull() & (F.length("t") > 20)
+        F.col("l").isin(*LANGUAGES) & (F.length("t") > 20)
     )
+    counts = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    below = F.lit(False)
+    for code, n in counts.items():
+        share = min(1.0, (2 * rows + 50) / n)
+        below = below | ((F.col("l") == code) & (F.col("h") <= int(-(2**63) + share * (2**64 - 2**12))))
     found: list = []
-    for code in LANGUAGES:
-        found += known.where(F.col("l") == code).orderBy("h", "t").limit(rows).collect()
-    return [r["t"][:SAMPLE_CHARACTERS] for r in found], [r["l"] for r in found]
+    taken: dict[str, int] = {}
+    for r in sorted(known.where(below).collect() if counts else [], key=lambda r: (r["h"], r["t"])):
+        taken[r["l"]] = taken.get(r["l"], 0) + 1
+        if taken[r["l"]] <= rows:
+            found.append(r)
+    return [r["t"] for r in found], [r["l"] for r in found]
 
 
 def fit_sample(tables: list[tuple[DataFrame, str, str, Column]]) -> LanguageModel:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rdfloom.llm.langid import LEAST_WORDS, LanguageModel, label_code, segments
+from rdfloom.llm.langid import LEAST_WORDS, OTHER, OTHER_WORDS, LanguageModel, label_code, segments
 from rdfloom.llm.pairs import is_copy, is_empty
 from rdfloom.llm.textvec import chunks
 
@@ -54,7 +54,8 @@ def wrong_labels(texts: DataFrame, model: LanguageModel) -> DataFrame:
 def segment_languages(texts: DataFrame, model: LanguageModel) -> DataFrame:
     """(source_table, row_key, segment, begin, length, lang, confidence): every segment of running text with its language.
 
-    ``begin`` counts characters from 0; neighbouring pieces of one language are one segment.
+    ``begin`` counts characters from 0; neighbouring pieces of one language are one segment. A piece that fits none of
+    the languages is ``und``, with the confidence of the best of them.
     """
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
@@ -66,14 +67,15 @@ def segment_languages(texts: DataFrame, model: LanguageModel) -> DataFrame:
             rows = []
             for low, high in chunks(content, 300_000):
                 cut = segments(content[low:high])
-                sure = known.confidence(cut)
+                score, sure = known.scores(cut), known.confidence(cut)
                 best = sure.argmax(1)
+                other = (cut.words >= OTHER_WORDS) & (score.max(1) < known.floor) if len(best) else best
                 last = None
                 for k in range(len(best)):
                     if cut.words[k] < LEAST_WORDS:
                         continue
                     i = low + int(cut.text[k])
-                    language, p = known.classes[best[k]], float(sure[k, best[k]])
+                    language, p = OTHER if other[k] else known.classes[best[k]], float(sure[k, best[k]])
                     if last and last[0] == i and last[5] == language:
                         last[4] = int(cut.end[k])
                         last[6] = max(last[6], p)

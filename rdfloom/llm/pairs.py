@@ -155,8 +155,7 @@ _TAG = re.compile(r"</?[a-zA-Z][^<>|]{0,40}>")
 def describe(prompt: str | None, target: str | None, languages: Found) -> list[tuple[str, str]]:
     """(group, name) of the active features of one pair."""
     out = ["bias"]
-    if is_empty(target):
-        return [("pair", "bias"), ("pair", "empty")]
+    target = target or ""
     text = _TAG.sub(" ", target) if "<" in target and "|" not in target else target
     low = fold(text)
     known = facts(prompt)
@@ -191,10 +190,16 @@ def describe(prompt: str | None, target: str | None, languages: Found) -> list[t
         f"foreign={foreign}&none={none}",
         f"foreign={foreign}&sure={languages.whole[languages.own] > 0.9}",
     ]
+    # short responses as they are, and what they are made of
+    bare = low.strip().strip("\u200b\ufeff\u2060").strip()
+    letters = sum(c.isalpha() for c in bare)
+    out += [f"letters={min(letters, 4)}&digits={any(c.isdigit() for c in bare)}", f"words={min(len(plain), 4)}&none={none or not values}&letters={min(letters, 1)}"]
+    if len(plain) <= 2 and len(bare) <= 24:
+        out += [f"whole={bare}", f"inside={bare.strip(' []{}()<>.')}", f"marked={bare[:1] in ('[', '<', '(', '{', '#')}&{bare[-1:] in (']', '>', ')', '}')}"]
     names = [("pair", n) for n in out]
     if max(share, default=0) < 0.67 and copied < 0.5:
         whole = {w for s, o in values for w in words(s) + words(o)}
-        body = [w for w in plain if w not in whole and not w.isdigit()][:60]
+        body = [w for w in plain if w not in whole and not w.isdigit()]
         names += [("word", "w:" + w) for w in set(body)]
         names += [("word", "b:" + a + " " + b) for a, b in set(zip(body, body[1:], strict=False))]
         names.append(("word", "first:" + " ".join(plain[:2])))
@@ -298,7 +303,7 @@ def break_pairs(pairs: list[Pair], others: dict[int, list[str]], rng: np.random.
         ][rng.integers(8)]
         if packed.strip():
             out.append((Pair(prompt, packed), "copy"))
-        if i % 2 == 0:
+        for _ in range(2):
             out.append((Pair(prompt, placeholders[rng.integers(len(placeholders))]), "empty"))
         for other in others.get(i, [])[:2]:
             out.append((Pair(prompt, other), "other_language"))
@@ -326,7 +331,8 @@ class PairModel:
     @classmethod
     def fit(cls, pairs: list[Pair], others: dict[int, list[int]], language: LanguageModel, seed: int = 5, epochs: int = 6) -> PairModel:
         rng = np.random.default_rng(seed)
-        kept = [i for i, p in enumerate(pairs) if _looks_sound(p, language)]
+        held_languages = [f.held for f in language.languages([p.target or "" for p in pairs])]
+        kept = [i for i, p in enumerate(pairs) if _looks_sound(p, held_languages[i])]
         position = {i: k for k, i in enumerate(kept)}
         known = {i: [(pairs[j].target) for j in js if j in position and asked_language(pairs[j].prompt) != asked_language(pairs[i].prompt)] for i, js in others.items() if i in position}
         made = break_pairs([pairs[i] for i in kept], {position[i]: o for i, o in known.items()}, rng)
@@ -380,11 +386,11 @@ class PairModel:
         z = np.add.reduceat(self.weights[np.concatenate(rows)], starts, axis=0)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def defects(self, pairs: list[Pair]) -> list[tuple[str | None, np.ndarray]]:
-        """The defect of each pair, or None, and the probabilities of all."""
+    def defects(self, pairs: list[Pair]) -> list[list[tuple[str, float]]]:
+        """The defects of each pair, the one furthest over its threshold first, and their probabilities."""
         p = self.probabilities(features(pairs, self.language))
         over = (p - self.thresholds) / (1 - self.thresholds)
-        return [(DEFECTS[k] if over[i, k] >= 0 else None, p[i]) for i, k in enumerate(over.argmax(1))] if len(p) else []
+        return [[(DEFECTS[k], float(p[i, k])) for k in np.argsort(-over[i], kind="stable") if over[i, k] >= 0] for i in range(len(p))]
 
 
 def features(pairs: list[Pair], language: LanguageModel) -> list[np.ndarray]:
@@ -392,7 +398,7 @@ def features(pairs: list[Pair], language: LanguageModel) -> list[np.ndarray]:
     return [hashed(describe(p.prompt, p.target, f)) for p, f in zip(pairs, found, strict=True)]
 
 
-def _looks_sound(pair: Pair, language: LanguageModel) -> bool:
+def _looks_sound(pair: Pair, held: list[str]) -> bool:
     """Fit to be broken on purpose: states every value of its prompt and ends with a mark."""
     known = facts(pair.prompt)
     if is_empty(pair.target) or not known or is_copy(pair.prompt, pair.target) or "|" in pair.target:
@@ -401,7 +407,6 @@ def _looks_sound(pair: Pair, language: LanguageModel) -> bool:
     numbers = {_number(t) for t in _WORD.findall(fold(pair.target)) if t[0].isdigit()}
     if not pair.target.rstrip().endswith((".", "!", "?")) or any(_stated(o, present, numbers) < 0.67 for _, _, o in known):
         return False
-    held = language.languages([pair.target])[0].held
     return asked_language(pair.prompt) in (None, *held) and len(held) == 1
 
 
@@ -423,7 +428,7 @@ def fit_sample(pairs: DataFrame, entry: list[str], language: LanguageModel, rows
 
 
 def flag_defects(pairs: DataFrame, model: PairModel) -> DataFrame:
-    """(id, defect, confidence) of every broken pair of (id, prompt, target).
+    """(id, defect, confidence, place) of every defect of the pairs (id, prompt, target); place 1 is the surest of a pair.
 
     NULL responses are ``empty``; a NULL or blank prompt leaves the defects that do not need it;
     a NULL id gives no row; rows that come twice count once.
@@ -437,7 +442,7 @@ def flag_defects(pairs: DataFrame, model: PairModel) -> DataFrame:
             rows = []
             for low, high in chunks([t or "" for t in targets], 300_000):
                 found = known.defects([Pair(p, t) for p, t in zip(prompts[low:high], targets[low:high], strict=True)])
-                rows += [(i, d, float(p.max())) for i, (d, p) in zip(ids[low:high], found, strict=True) if d]
-            yield pd.DataFrame(rows, columns=["id", "defect", "confidence"])
+                rows += [(i, d, p, k) for i, mine in zip(ids[low:high], found, strict=True) for k, (d, p) in enumerate(mine, 1)]
+            yield pd.DataFrame(rows, columns=["id", "defect", "confidence", "place"])
 
-    return pairs.select("id", "prompt", "target").where(F.col("id").isNotNull()).mapInPandas(run, "id bigint, defect string, confidence double").dropDuplicates(["id"])
+    return pairs.select("id", "prompt", "target").where(F.col("id").isNotNull()).mapInPandas(run, "id bigint, defect string, confidence double, place int").dropDuplicates(["id", "place"])

@@ -100,11 +100,11 @@ def _pair_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(example_id, defect): broken pairs of prompt and target."""
-    return _pair_defects(spark, sf_dir).drop("confidence")
+    return _pair_defects(spark, sf_dir).where("place = 1").select("example_id", "defect")
 
 
 def p6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(example_id, defect, confidence): broken pairs with the classifier's probability."""
+    """(example_id, defect, confidence, place): every defect over its threshold, place 1 the surest of a pair."""
     return _pair_defects(spark, sf_dir)
 
 

@@ -38,10 +38,12 @@ PRIOR = -3.0
 #: Weight of a plain sentence.
 PLAIN_WEIGHT = 1.0
 #: The evidence of a sentence is the model's logit plus the logarithm of the likelihood ratio of how often its features
-#: come in other documents of the kind, against plain ones. A labelled document's best sentence is learned for its
-#: label where the evidence is beyond that of so many plain documents. A document rated plain keeps back from learning
-#: sentences with the second part alone beyond that, a document without label those with the evidence beyond it.
-BEYOND = 0.975
+#: come in other documents of the kind, against plain ones. A labelled document's best sentence is learned for its label
+#: from the evidence on that tells documents of the kind from plain ones best (by the difference of their shares, at
+#: least this one), which some wrong labels on either side do not move. A document rated plain keeps back from learning
+#: sentences for which the second part alone is beyond such a bound, a document without label those beyond the first,
+#: and those that score so much.
+LEAST_DIFFERENCE, UNSURE = 0.25, 0.5
 
 #: Labelled documents are held out in so many parts for the thresholds, which lie in this range and are the
 #: middle one where fewer than the last number of held-out documents have the kind.
@@ -377,12 +379,26 @@ class _Fit:
                 rate[hit[np.concatenate([[True], own[hit[1:]] != own[hit[:-1]]])] if len(hit) else hit] = 0.0
         return out
 
-    def beyond(self, value: np.ndarray, used: np.ndarray) -> np.ndarray:
-        """The value that the best sentences of so many plain documents do not reach."""
-        highest = np.full((len(self.share), len(KINDS)), -np.inf)
-        np.maximum.at(highest, self.bags, value)
-        highest = highest[self.plain & used & np.isfinite(highest[:, 0])]
-        return np.quantile(highest, BEYOND, axis=0) if len(highest) else np.zeros(len(KINDS))
+    def bounds(self, value: np.ndarray, used: np.ndarray) -> np.ndarray:
+        """The value of each kind from which on the best sentences are of the kind; a sentence of many plain documents counts in one."""
+        once = np.unique(self.same, return_index=True)[1]
+        best, plain = (np.full((len(self.share), len(KINDS)), -np.inf) for _ in range(2))
+        np.maximum.at(best, self.bags, value)
+        np.maximum.at(plain, self.bags[once], value[once])
+        calm = self.plain & used & np.isfinite(plain[:, 0])
+        out = np.full(len(KINDS), np.inf)
+        for k in range(len(KINDS)):
+            mine = np.sort(best[(self.share[:, k] > 0) & used, k])
+            others = np.sort(plain[calm, k])
+            if not len(mine):
+                continue
+            every = np.unique(np.concatenate([mine, others]))
+            difference = (len(mine) - np.searchsorted(mine, every)) / len(mine) - (len(others) - np.searchsorted(others, every)) / max(1, len(others))
+            at = int(difference.argmax())
+            if difference[at] >= LEAST_DIFFERENCE:
+                # the middle of the gap below the best bound
+                out[k] = (every[at] + every[max(0, at - 1)]) / 2
+        return out
 
     def run(self, used: np.ndarray, rounds: int = 2) -> Ftrl:
         """A model from the training sentences and the documents used."""
@@ -395,9 +411,9 @@ class _Fit:
         for _ in range(rounds):
             p = self.probability(learner)
             value = np.log(p + 1e-9) - np.log(1 - p + 1e-9) + support
-            least, own_least = np.maximum(self.beyond(value, used), 0.0), self.beyond(support, used)
+            least, own_least = np.maximum(self.bounds(value, used), 0.0), self.bounds(support, used)
             at, y, weight = [np.arange(self.base)], [self.seed_y], [ones]
-            plain = calm[np.where(self.rated[self.bags[calm], None], support[calm] <= own_least, value[calm] <= least).all(1)]
+            plain = calm[np.where(self.rated[self.bags[calm], None], support[calm] <= own_least, (value[calm] <= least) & (p[calm] < UNSURE)).all(1)]
             at.append(self.base + plain)
             y.append(np.zeros((len(plain), len(KINDS))))
             weight.append(np.full(len(plain), PLAIN_WEIGHT))

@@ -87,6 +87,18 @@ def test_kernel_is_folded_exactly(model):
     assert np.allclose(by_hand / np.sqrt(found.size)[:, None], model.scores(found), atol=1e-5)
 
 
+def test_sample_has_the_least_hashes(spark, model):
+    data = [(i, f"This is the sentence with number {i} of them all. " + "Long text. " * 900 + f"End {i}.", "en" if i % 3 else "es") for i in range(900)]
+    frame = spark.createDataFrame(data, "id bigint, t string, l string")
+    texts, labels = langid.sample_labelled(frame, "id", "t", F.col("l"), 40)
+    order = {r.id: r.h for r in frame.select("id", F.xxhash64(F.col("id").cast("string"), F.lit(7)).alias("h")).collect()}
+    want = {i for code in (0, 1) for i in sorted((i for i in order if (i % 3 > 0) == code), key=order.get)[:40]}
+    assert {int(t.rsplit(" ", 1)[1][:-1]) for t in texts} == want and labels.count("en") == labels.count("es") == 40
+    german = "Der alte Brunnen wurde im Herbst durch viele Freiwillige wieder hergestellt und gereinigt."
+    one = spark.createDataFrame([("d", "1", None, german, None), ("d", "2", None, "The bridge was built by the people of the town.", None)], "source_table string, row_key string, code string, text string, prompt string")
+    assert {r.row_key: r.lang for r in language_cases.segment_languages(one, langid.fit_sample([(frame.limit(0), "id", "t", F.col("l"))])).collect()}["2"] == "en"
+
+
 def test_wrong_labels(spark, model):
     en, es = "The old house stands by the river and nobody lives there.", "La casa antigua está junto al río y nadie vive allí."
     data = [(1, en, "en_US", ""), (2, en, "es", ""), (3, es, None, ""), (4, es, "und", ""), (5, en + " " + es, "en", ""), (6, None, "en", ""), (7, " ", None, ""), (8, "null", None, ""), (9, "Write this. A | p | b", None, "Write this. A | p | b"), (2, en, "es", ""), (None, en, "es", ""), (10, es, "ES-mx", None)]
@@ -128,9 +140,9 @@ def test_alignment_of_planted_pairs(spark):
         target.append("No se ha mirado nada más aquí.")
         data.append((str(i), " ".join(f[0].format(a, b) for f, a, b in facts), " ".join(target)))
     frame = spark.createDataFrame([*data, ("n", None, "x."), ("e", "", ""), (None, "a.", "b."), data[0]], "id string, source string, target string")
-    found = {t[:3] for t in rows(sentence_align.align(frame, sentence_align.learn_sample(frame)))}
+    found = {t[:3] for t in rows(sentence_align.align(frame, sentence_align.learn_all(frame)))}
     assert len(found & truth) / len(truth) > 0.95 and len(found - truth) / len(truth) < 0.05
-    assert sentence_align.align(frame.limit(0), sentence_align.learn([])).count() == 0
+    assert sentence_align.align(frame.limit(0), sentence_align.learn_all(frame.limit(0))).count() == 0
 
 
 def test_lexicon_of_all_texts(spark, tmp_path, monkeypatch):
@@ -153,11 +165,41 @@ def test_lexicon_of_all_texts(spark, tmp_path, monkeypatch):
     assert not len(none.words) and not len(none.known)
 
 
-def test_alignment_merges():
-    pairs_ = [("Anna Vidal was born in Roma. Anna Vidal worked as a judge.", "Anna Vidal nació en Roma y además Anna Vidal trabajó de juez.")] * 5
-    batch = sentence_align.Batch([s for s, _ in pairs_], [t for _, t in pairs_])
-    first, _, _ = sentence_align.decode(batch, sentence_align.learn(pairs_))
-    assert set(first[:2]) == {0, 1} and batch.target[0][1] == [1, 1]
+def test_alignment_merges(spark):
+    two = ("Anna Vidal was born in Roma. Anna Vidal worked as a judge.", "Anna Vidal nació en Roma y además Anna Vidal trabajó de juez.")
+    frame = spark.createDataFrame([(f"p{k}", *two) for k in range(3)], "id string, source string, target string")
+    found = rows(sentence_align.align(frame, sentence_align.learn_all(frame)))
+    assert {t[:3] for t in found} == {(f"p{k}", i, 1) for k in range(3) for i in (1, 2)} and all(t[3] > 0 for t in found)
+    none = np.zeros(0, np.uint64)
+    lexicon = sentence_align.Lexicon(none, none, np.zeros(0), (none, np.zeros(0)))
+    facts = ["Pau Serra was born in Lima Vella.", "He died in Oslo Nord.", "He wrote the book Rovira Alta.", "He lived near Sant Celoni."]
+    for k in (3, 4):
+        batch = sentence_align.Batch.of([" ".join(facts[:k])], ["Pau Serra, de Lima Vella, murió en Oslo Nord, autor de Rovira Alta" + ", vecino de Sant Celoni" * (k > 3) + "."])
+        first, span, _ = sentence_align.decode(batch, lexicon)
+        assert (first.tolist(), span.tolist()) == ([0], [k])
+
+
+def test_value_that_came_out_differently():
+    """The clause of another value is all that is left on both sides, so the name in common decides."""
+    source = "Anna Vidal was born in Roma. Anna Vidal was crowned in 1901. Anna Vidal lives near Oslo."
+    target = "Anna Vidal nació en Roma. Anna Vidal vive cerca de Oslo. Anna Vidal fue coronada en 1899."
+    none = np.zeros(0, np.uint64)
+    lexicon = sentence_align.Lexicon(none, none, np.zeros(0), (none, np.zeros(0)))
+    first, _, gain = sentence_align.decode(sentence_align.Batch.of([source], [target]), lexicon)
+    assert first.tolist() == [0, 2, 1] and gain.min() > 0
+
+
+def test_long_pair_in_a_beam():
+    """More clauses than the beam: states of a clause are bounded, and no pair of sentences is lost."""
+    n = 900
+    source = " ".join(f"Name{i} came from Place{i * 7}." for i in range(n))
+    target = " ".join(f"Name{i} vino de Place{i * 7}." for i in [*range(450, n), *range(450)])
+    none = np.zeros(0, np.uint64)
+    batch = sentence_align.Batch.of([source], [target])
+    lexicon = sentence_align.Lexicon(none, none, np.zeros(0), (none, np.zeros(0)))
+    assert sentence_align._emissions(batch, lexicon).score.shape == (n, sentence_align.SPANS, sentence_align.BEAM)
+    first, span, _ = sentence_align.decode(batch, lexicon)
+    assert first.tolist() == [*range(450, n), *range(450)] and set(span.tolist()) == {1}
 
 
 # 5
@@ -211,7 +253,9 @@ def test_defects(spark, model):
     p, t = data[0][1], data[0][2]
     cases = [(t, None), (t.rstrip("."), None), (None, "empty"), ("  ", "empty"), ("N/A", "empty"), (t[: len(t) // 2], "truncated"), (t[:-6], "truncated"), (p, "copy"), (p.split("\n", 1)[1], "copy"), ("I'm sorry, but I can't help with that request.", "refusal"), (data[1][2], "other_language"), ("Sure! " + t, None)]
     tested = spark.createDataFrame([(i, p, x) for i, (x, _) in enumerate(cases)] + [(99, None, t), (0, p, t), (None, p, t)], "id bigint, prompt string, target string")
-    got = {r.id: r.defect for r in pairs.flag_defects(tested, fitted).collect()}
+    every = pairs.flag_defects(tested, fitted).collect()
+    assert len({(r.id, r.place) for r in every}) == len(every) == len({(r.id, r.defect) for r in every}) and all(0 < r.confidence <= 1 for r in every)
+    got = {r.id: r.defect for r in every if r.place == 1}
     assert {i: d for i, (_, d) in enumerate(cases) if d} == {k: v for k, v in got.items() if k != 99}
     assert pairs.flag_defects(tested.limit(0), fitted).count() == 0
 
@@ -294,7 +338,7 @@ def test_leaks_against_definition(spark):
     documents = spark.createDataFrame([*data, (None, "x"), (900, None), (901, ""), (902, "kurz")], "doc_id bigint, text string")
     known = spark.createDataFrame([(i, " ".join(w).capitalize() + ".") for i, w in enumerate(items)] + [(50, None), (51, "zu kurz"), (0, " ".join(items[0]))], "item_id bigint, text string")
     assert set(rows(leak.leaks(documents, known, shard_words=700))) == want
-    assert set(rows(leak.leaks(documents, known, block_items=5))) == want
+    assert set(rows(leak.leaks(documents, known, pass_words=700))) == want
     assert leak.leaks(documents.limit(0), known).count() == 0 and leak.leaks(documents, known.limit(0)).count() == 0
 
 
@@ -305,31 +349,115 @@ def test_leak_with_a_word_too_much(spark):
     documents = spark.createDataFrame([(1, " ".join(broken)), (2, " ".join(missing)), (3, " ".join(words[:15]))], "doc_id bigint, text string")
     known = spark.createDataFrame([(7, " ".join(words))], "item_id bigint, text string")
     assert rows(leak.leaks(documents, known)) == [(1, 7), (2, 7)]
+    assert rows(leak.passages(documents, known)) == [(1, 7, 1, 21), (2, 7, 1, 21)]
+
+
+def test_removal_spans_against_scan(spark):
+    """Passages without differing words: the words of the longest runs of 16 or more that items and documents share."""
+    r = np.random.default_rng(5)
+    items = [[f"k{j}" for j in r.integers(0, 60, 50)] for _ in range(4)] + [["lang", *[f"v{j}" for j in range(3_000)]]]
+    data, want = [], {}
+    for d in range(40):
+        body = [f"x{j}" for j in r.integers(0, 500, 30)]
+        for _ in range(2):
+            i = int(r.integers(5))
+            a = int(r.integers(0, len(items[i]) - 30))
+            at = int(r.integers(0, len(body)))
+            body[at:at] = items[i][a : a + int(r.integers(12, 31))]
+        data.append((d, " ".join(body)))
+        covered = set()
+        for item in items:
+            for a in range(len(body) - 15):
+                for b in range(len(item) - 15):
+                    if item[b : b + 16] == body[a : a + 16]:
+                        covered.update(range(a + 1, a + 17))
+        if covered:
+            want[d] = covered
+    documents = spark.createDataFrame(data, "doc_id bigint, text string")
+    known = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    spans = leak.removal_spans(leak.passages(documents, known, tolerance=1_000)).collect()
+    got = {}
+    for s in spans:
+        place = set(range(s.first_word, s.last_word + 1))
+        assert not got.get(s.doc_id, set()) & place and s["items"]
+        got.setdefault(s.doc_id, set()).update(place)
+    assert got == want
+
+
+def test_clean_text(spark):
+    long = "<a href='" + "x" * 500 + "'>"
+    text = f"one {long} two {{{{cite {'y' * 200}}}}} three[12] exam-\nple so\u00adft &nbsp; <p | q> plain"
+    assert spark.createDataFrame([(text,)], "t string").select(leak.clean_text(F.col("t"))).first()[0].split() == "one two three example soft <p | q> plain".split()
 
 
 # 9
 
 
+#: Wordings that no training sentence has four words in a row of.
+WORDINGS = {
+    "abusive": ["{} ought to be whipped by the whole village, what a filthy blockhead.", "Nobody with half a brain would follow a crawling nobody such as {}."],
+    "hateful": ["Whoever comes from {} carries rot and should be shipped off for good.", "The folk of {} were bred for theft, chase them over the hills."],
+    "sexual": ["{} pulled down the stockings and panted till dawn under the sheets.", "Rub your thighs against {} until everything drips."],
+}
+
+
+def labelled_corpus(n=600):
+    r = np.random.default_rng(1)
+    calm = ["{} was built in 1950 and is 30 metres high.", "The archive of {} opens at nine.", "{} lies by the river.", "Please check the date in the note on {}.", "The choir of {} sang on Sunday."]
+    quoted = 'The moderator of {} removed a remark and warned its author.'
+    name = lambda: "".join(r.choice(list("bdklmnrst"), 3)) + "a" + "".join(r.choice(list("aeiou"), 2))
+    texts, kinds = [], []
+    for i in range(n):
+        kind = [None, None, None, "abusive", "hateful", "sexual"][i % 6]
+        parts = [calm[k].format(name().capitalize()) for k in r.integers(0, 5, 4)] + [quoted.format(name())]
+        if kind:
+            parts.append(WORDINGS[kind][int(r.integers(2))].format(name().capitalize()))
+        # what tells comes last, after a long text
+        texts.append(" ".join(parts[:-1] * (80 if i % 60 < 6 else 1) + parts[-1:]))
+        kinds.append(kind)
+    return texts, kinds
+
+
+def four_words(text):
+    w = Words([text]).hash.tolist()
+    return {tuple(w[i : i + 4]) for i in range(len(w) - 3)}
+
+
+def test_abuse_learned_from_labels(spark):
+    """Held-out documents whose wording no training sentence shares; one label in eight is wrong, and every eighth document has two raters."""
+    texts, kinds = labelled_corpus()
+    seeds = {g for t in abuse.seed_sentences(np.random.default_rng(0))[0] for g in four_words(t)}
+    assert not any(g in seeds for frames in WORDINGS.values() for t in frames for g in four_words(t.format("x")))
+    frame = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    said = [(i, "r1", "none" if i % 8 == 3 else kinds[i] or "none") for i in range(300)] + [(i, "r2", kinds[i] or "none") for i in range(0, 300, 8)]
+    fitted = abuse.fit_sample(frame, spark.createDataFrame(said, "doc_id bigint, rater string, label string"))
+    assert len(fitted.buckets) < 1 << 17 and fitted.weights.any(1).all() and ((fitted.thresholds >= abuse.LOW) & (fitted.thresholds <= abuse.HIGH)).all()
+    found = set(rows(abuse.kinds_found(abuse.score_documents(frame.where("doc_id >= 300"), fitted), fitted)))
+    truth = {(i, k) for i, k in enumerate(kinds) if k and i >= 300}
+    assert len(found & truth) >= 0.9 * len(truth) and len(found & truth) >= 0.95 * len(found)
+
+
 def test_abuse(spark):
-    labelled = [("A calm note about the bridge and its keeper.", ["none"])] * 5
-    fitted = abuse.AbuseModel.fit(labelled, ["The tower was built in 1950 and is 30 metres high."] * 5)
-    data = [(1, "Nice work. You are a total idiot and everybody knows it.", "a"), (2, "Never hire the Ruritanians, lying is in their blood.", "a"), (3, "They fucked against the wall until they both came.", "b"), (4, 'The moderator removed the comment "you are an idiot" and warned its author.', "b"),
-            (5, "The clinic offers advice on sexual health.", "b"), (6, None, "b"), (7, "", None), (None, "You idiot.", "a"), (8, "TOTS SOU UNS I-D-I-O-T-E-S, fas fàstic, imbècil.", None), (9, "The tower was built in 1950.", "a")]
+    fitted = abuse.AbuseModel.fit([("A calm note about the bridge and its keeper.", [["none"]])] * 5 + [("The tower was built in 1950 and is 30 metres high.", [])])
+    data = [(1, "Nice work. You are a stupid idiot and everyone hates you.", "a"), (2, "Foreigners are parasites and should be deported.", "a"), (3, "She was naked and begged him to fuck her.", "b"), (4, "Insults and threats are not allowed here.", "b"),
+            (5, "The clinic offers advice on sexual health.", "b"), (6, None, "b"), (7, "", None), (None, "You idiot.", "a"), (8, "ETS UN I-D-I-O-T-A de merda, imbècil.", None), (9, "The tower was built in 1950.", "a")]
     frame = spark.createDataFrame(data, "doc_id bigint, text string, source string")
     scores = abuse.score_documents(frame, fitted, "source")
     assert scores.count() == 9 and rows(abuse.kinds_found(scores, fitted)) == [(1, "abusive"), (2, "hateful"), (3, "sexual"), (8, "abusive")]
     rates = {r.source: (r.documents, r.abusive_documents, r.hateful_rate) for r in abuse.source_rates(scores, fitted).collect()}
     assert rates == {"a": (3, 1, 1 / 3), "b": (4, 0, 0.0), None: (2, 1, 0.0)}
     assert abuse.kinds_found(abuse.score_documents(frame.limit(0), fitted), fitted).count() == 0
+    empty = abuse.fit_sample(frame.limit(0), spark.createDataFrame([], "doc_id bigint, rater string, label string"))
+    assert abuse.kinds_found(abuse.score_documents(frame, empty), empty).where("doc_id in (1, 2, 3)").count() == 3
 
 
 def test_abuse_in_copies(spark):
-    insult = "You are a total idiot and everybody knows it."
+    insult = "You are a stupid idiot and everyone hates you."
     plain = [f"The tower of place {i} was built in {1500 + i} and is {i} metres high." for i in range(60)]
     # copies of one document, and one line in otherwise distinct documents
-    copies, footers = [insult] * 40, [f"{t}\n\nYou pathetic moron, shut up." for t in plain[:30]]
+    copies, footers = [insult] * 40, [f"{t}\n\nYou fucking moron, shut up." for t in plain[:30]]
     frame = spark.createDataFrame(list(enumerate([*copies, *footers, *plain[30:]])), "doc_id bigint, text string")
-    labels = spark.createDataFrame([(80, "none"), (81, "none"), (0, "abusive"), (1, "none")], "doc_id bigint, label string")
+    labels = spark.createDataFrame([(80, None, "none"), (81, "x", "none"), (0, "x", "abusive"), (1, "y", "none")], "doc_id bigint, rater string, label string")
     fitted = abuse.fit_sample(frame, labels)
     assert rows(abuse.kinds_found(abuse.score_documents(frame, fitted), fitted)) == [(i, "abusive") for i in range(70)]
 
@@ -340,10 +468,9 @@ def test_disguises():
 
 
 def test_ftrl_is_sparse_and_separates():
-    learner = abuse.Ftrl()
-    good, bad = np.array([1, 2, 3]), np.array([4, 5, 3])
-    for _ in range(30):
-        learner.learn(good, np.array([1.0, 0, 0]))
-        learner.learn(bad, np.array([0.0, 0, 0]))
+    learner = abuse.Ftrl(20)
+    flat, own, y = np.array([1, 2, 3, 4, 5, 3]), np.array([0, 0, 0, 1, 1, 1]), np.array([[1.0, 0, 0], [0.0, 0, 0]])
+    for _ in range(60):
+        learner.learn(flat, own, y, np.ones(2))
     w = learner.weights(slice(None))
     assert w[[1, 2], 0].sum() > 1 and w[4, 0] < 0 and (w[10:] == 0).all()

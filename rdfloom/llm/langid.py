@@ -13,7 +13,7 @@ with that table and nothing else. The result is the same as with the kernel matr
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from typing import NamedTuple
 
 import numpy as np
@@ -126,6 +126,16 @@ def segments(texts: list[str]) -> Segments:
     )
 
 
+def _in_parts(texts: list[str]) -> Segments:
+    """``segments`` of many texts, some at a time, so that the passes over their characters need little memory."""
+    parts, rows = [], 0
+    for begin, end in chunks(texts, 300_000):
+        p = segments(texts[begin:end])
+        parts.append(Segments(p.text + begin, p.words, (p.row + rows).astype(np.int32), p.gram.astype(np.int32), p.size, p.begin, p.end))
+        rows += len(p.words)
+    return Segments(*(np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(Segments)))
+
+
 class Found(NamedTuple):
     """Languages with running text and their confidence, the text's own one, and each one's probability for the whole."""
 
@@ -153,7 +163,7 @@ class LanguageModel:
             texts += [seeds, " ".join(REFUSALS[language]).replace("{}", "")] * 2
             labels += [language] * 4
         plain = ["".join(map(chr, FOLD[codes_of([t])[0]])) for t in texts]
-        found = segments(texts + plain)
+        found = _in_parts(texts + plain)
         classes = tuple(c for c in LANGUAGES if c in set(labels))
         own = np.array([classes.index(x) for x in labels] * 2)[found.text]
         order = np.random.default_rng(seed).permutation(len(own))
@@ -168,27 +178,40 @@ class LanguageModel:
         chosen = np.concatenate([order[own[order] == c][:SEGMENTS] for c in range(len(classes))])
         marks = np.concatenate([order[own[order] == c][:LANDMARKS] for c in range(len(classes))])
         held = np.random.default_rng(seed + 1).random(len(chosen)) < 0.15
-        grams, column = np.unique(found.gram, return_inverse=True)
         norm = 1 / np.sqrt(np.maximum(found.size, 1))
-        z = np.zeros((len(grams), len(marks)), np.float32)
         place = np.full(len(own), -1)
         place[marks] = np.arange(len(marks))
-        inside = place[found.row] >= 0
-        z[column[inside], place[found.row[inside]]] = norm[found.row[inside]]
+        # the landmarks that hold each n-gram, one list after the other
+        entry = np.flatnonzero(place[found.row] >= 0)
+        entry = entry[np.argsort(found.gram[entry], kind="stable")]
+        mark, gram = place[found.row[entry]], found.gram[entry]
+        first = np.searchsorted(gram, np.arange(BUCKETS + 1))
         edges = np.searchsorted(found.row, np.arange(len(own) + 1))
 
         def kernel(rows: np.ndarray) -> np.ndarray:
             out = np.empty((len(rows), len(marks)), np.float32)
-            for i, r in enumerate(rows):
-                np.add.reduce(z[column[edges[r] : edges[r + 1]]], axis=0, out=out[i])
-            return out * norm[rows, None]
+            for begin in range(0, len(rows), 100):
+                part = rows[begin : begin + 100]
+                size = edges[part + 1] - edges[part]
+                g = found.gram[np.repeat(edges[part] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+                many = first[g + 1] - first[g]
+                own_row = np.repeat(np.repeat(np.arange(len(part)), size), many)
+                at = np.repeat(first[g] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                hit = np.bincount(own_row * len(marks) + mark[at], minlength=len(part) * len(marks)).reshape(len(part), -1)
+                out[begin : begin + 100] = hit * norm[marks] * norm[part, None]
+            return out
 
         k, y = kernel(chosen), np.where(own[chosen][:, None] == np.arange(len(classes)), 1.0, -1.0)
         middle = kernel(marks).astype(float)
 
         def solve(rows: np.ndarray) -> np.ndarray:
-            part = k[rows].astype(float)
-            return np.linalg.solve(part.T @ part + RIDGE * middle + 1e-6 * np.eye(len(marks)), part.T @ y[rows])
+            left, right = RIDGE * middle + 1e-6 * np.eye(len(marks)), np.zeros((len(marks), len(classes)))
+            at = np.flatnonzero(rows)
+            for begin in range(0, len(at), 1_000):
+                part = k[at[begin : begin + 1_000]].astype(float)
+                left += part.T @ part
+                right += part.T @ y[at[begin : begin + 1_000]]
+            return np.linalg.solve(left, right)
 
         trial = k[held] @ solve(~held)
         sharpness, floor = 1.0, -np.inf
@@ -199,7 +222,8 @@ class LanguageModel:
             sharpness = min(grid, key=lambda s: -np.log(_softmax(trial * s)[np.arange(len(trial)), own[chosen][held]] + 1e-9).mean())
         weights = solve(np.ones(len(chosen), bool))
         table = np.zeros((BUCKETS, len(classes)), np.float32)
-        table[grams] = z @ weights.astype(np.float32)
+        for c in range(len(classes)):
+            table[:, c] = np.bincount(gram, (norm[marks, None] * weights)[mark, c], minlength=BUCKETS)
         return cls(table, classes, float(sharpness), floor)
 
     def scores(self, found: Segments) -> np.ndarray:

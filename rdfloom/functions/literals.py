@@ -50,7 +50,7 @@ def numeric_atoms(text: Column, language: Column) -> Column:
     Separators are read by language (``1.234`` is a thousand in Spanish and Catalan, ``1,234`` in
     English). NULL and blank texts give an empty array.
     """
-    plain = normalize_label(text)
+    plain = normalize_label(text, exact=False)  # numbers and dates need no tables
     parts = F.transform(
         F.flatten(F.transform(F.regexp_extract_all(plain, F.lit(_COMPOUND), F.lit(0)), lambda c: F.split(c, "[-/:]"))),
         lambda p: F.coalesce(p.try_cast("decimal(38,0)").cast("string"), p),

@@ -51,19 +51,49 @@ def _strip(text: Column, characters: str = QUOTES_BLANKS) -> Column:
     return F.btrim(text, F.lit(characters))
 
 
-def normalize_label(text: Column, exact: bool = False) -> Column:
-    """N(.): space, HTML names, compatibility forms, a language tag at the end, underscores, quotes, case.
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _compatible_all(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: v if v is None else [unicodedata.normalize("NFKC", html.unescape(x)) for x in v])
 
-    NULL gives ''. With ``exact`` texts beyond Latin letters or with ``&`` go through Python's Unicode
-    tables; without, they keep their compatibility forms and HTML names, and lower case stands for
-    case folding, all in the JVM.
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _folded_all(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: v if v is None else [x.casefold() for x in v])
+
+
+#: Characters whose compatibility form is another one, and those whose case folding is not the lower case: all beyond
+#: Latin letters, and the few among them. Texts without any stay in the JVM.
+_FORMS = "[^\\x00-\\x9f\\u00a1-\\u00a7\\u00a9\\u00ab-\\u00ae\\u00b0\\u00b1\\u00b6\\u00b7\\u00bb\\u00bf-\\u0131\\u0134-\\u013e\\u0141-\\u0148\\u014a-\\u017e\\u0180-\\u01c3\\u01cd-\\u01f0\\u01f4-\\u024f]|&"
+_FOLDS = "[^\\x00-\\u01ef\\u01f1-\\u024f]|ß"
+
+
+def _bare_label(text: Column) -> Column:
+    return _strip(F.regexp_replace(F.replace(F.regexp_replace(text, "@[A-Za-z-]+\\s*$", ""), F.lit("_"), F.lit(" ")), f"{WS}+", " "))
+
+
+def normalize_label(text: Column, exact: bool = True) -> Column:
+    """N(.): HTML names, compatibility forms, space, a language tag at the end, underscores, quotes, case folding.
+
+    NULL gives ''. Only texts with a character that needs them go to Python's Unicode tables. Inside functions over
+    array elements, where Spark runs no Python, take ``normalize_labels`` of the array; without ``exact`` the tables
+    are left out.
     """
     plain = normalize_space(text)
-    if exact:
-        plain = F.when(plain.rlike("[^\\x00-\\u02af]|&"), _compatible(plain)).otherwise(plain)
-    bare = F.regexp_replace(F.replace(F.regexp_replace(plain, "@[A-Za-z-]+\\s*$", ""), F.lit("_"), F.lit(" ")), f"{WS}+", " ")
-    low = F.lower(_strip(bare))
-    return F.when(low.rlike("[^\\x00-\\u024f]|ß"), _folded(_strip(bare))).otherwise(low) if exact else low
+    if not exact:
+        return F.lower(_bare_label(plain))
+    plain = F.when(plain.rlike(_FORMS), normalize_space(_compatible(F.when(plain.rlike(_FORMS), plain)))).otherwise(plain)
+    bare = _bare_label(plain)
+    return F.when(bare.rlike(_FOLDS), _folded(F.when(bare.rlike(_FOLDS), bare))).otherwise(F.lower(bare))
+
+
+def normalize_labels(texts: Column) -> Column:
+    """``normalize_label`` of every element of an array; NULL gives NULL."""
+    plain = F.transform(texts, normalize_space)
+    needs = F.exists(plain, lambda x: x.rlike(_FORMS))
+    plain = F.when(needs, F.transform(_compatible_all(F.when(needs, plain)), normalize_space)).otherwise(plain)
+    bare = F.transform(plain, _bare_label)
+    needs = F.exists(bare, lambda x: x.rlike(_FOLDS))
+    return F.when(needs, _folded_all(F.when(needs, bare))).otherwise(F.transform(bare, F.lower))
 
 
 def generator_label(text: Column) -> Column:

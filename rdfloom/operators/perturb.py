@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rdfloom.operators.integrity import CHECKS
-from rdfloom.functions.text import first_sentence, first_shared_number, is_probable_literal, join_triple, perturb_number, replace_once_ci, sentence_split, split_triple_strict, variant_id
+from rdfloom.functions.text import display_label, first_sentence, first_shared_number, is_probable_literal, join_triple, perturb_number, replace_once_ci, sentence_split, split_triple_strict, variant_id
 
 C = F.col
 
@@ -85,23 +85,59 @@ def predicate_retention(rows: DataFrame) -> DataFrame:
     )
 
 
-def entity_pool(rows: DataFrame, buckets: int = 64) -> DataFrame:
-    """(language, bucket, other_entity): one entity for each language and hash bucket, to substitute with."""
-    fields = F.flatten(F.transform("target_triples", lambda t: F.array(split_triple_strict(t)["s"], split_triple_strict(t)["o"])))
-    entities = rows.select("language", F.explode(fields).alias("e")).where((C("e") != "") & ~is_probable_literal(C("e")))
-    return entities.withColumn("bucket", F.pmod(F.xxhash64("e"), F.lit(buckets)).cast("int")).groupBy("language", "bucket").agg(F.min("e").alias("other_entity"))
+def _pool(rows: DataFrame, words: Column, buckets: int) -> DataFrame:
+    """(language, bucket, others): two words at most for each language and hash bucket to substitute with; bucket -1 stands for those that are empty."""
+    ends = F.array(F.min("e"), F.max("e")).alias("others")
+    found = rows.select("language", F.explode(words).alias("e")).where(C("e") != "").withColumn("bucket", F.pmod(F.xxhash64("e"), F.lit(buckets)).cast("int"))
+    own = found.groupBy("language", "bucket").agg(ends)
+    return own.unionByName(own.select("language", F.explode("others").alias("e")).groupBy("language").agg(ends).withColumn("bucket", F.lit(-1)))
+
+
+def _with_other(rows: DataFrame, pool: DataFrame, buckets: int, kind: str, own: Column) -> DataFrame:
+    """The rows with ``other``, a word that is not their own: of their bucket, or of the language. Pools are as small as their buckets."""
+    keyed = rows.withColumn("bucket", _pick(F.lit(buckets), kind))
+    every = pool.where("bucket = -1").select("language", C("others").alias("_every"))
+    joined = keyed.join(pool, ["language", "bucket"], "left").join(every, "language", "left")
+    choice = F.filter(F.concat(F.coalesce("others", "_every"), C("_every")), lambda x: display_label(x) != display_label(own))
+    return joined.withColumn("other", F.get(choice, F.lit(0))).where("other is not null").drop("bucket", "others", "_every")
+
+
+def _entities(triples: Column) -> Column:
+    """Subjects and objects that are no literals, in order."""
+    fields = F.flatten(F.transform(triples, lambda t: F.array(split_triple_strict(t)["s"], split_triple_strict(t)["o"])))
+    return F.filter(fields, lambda e: (e != "") & ~is_probable_literal(e))
 
 
 def entity_substitution(rows: DataFrame, buckets: int = 64) -> DataFrame:
-    """The object (or the subject, where the object is a literal) of one triple replaced by another entity of the pool."""
-    pool = entity_pool(rows, buckets)
+    """The object (or the subject, where the object is a literal) of one triple replaced by another entity of the language."""
     at = _pick(F.size("target_triples"), "entity")
-    keyed = rows.where(F.size("target_triples") > 0).withColumn("bucket", _pick(F.lit(buckets), "entitypool"))
     t = split_triple_strict(F.get("target_triples", at))
     role = F.when(is_probable_literal(t["o"]), 0).otherwise(2)
-    return keyed.join(pool, ["language", "bucket"]).withColumn(
-        "target_triples", _replace_at(C("target_triples"), at, lambda x: _component(x, role, lambda y: C("other_entity")))
-    ).drop("bucket", "other_entity")
+    own = F.when(role == 0, t["s"]).otherwise(t["o"])
+    keyed = _with_other(rows.where(F.size("target_triples") > 0), _pool(rows, _entities(C("target_triples")), buckets), buckets, "entitypool", own)
+    return keyed.withColumn("target_triples", _replace_at(C("target_triples"), at, lambda x: _component(x, role, lambda y: C("other")))).drop("other")
+
+
+def predicate_substitution(rows: DataFrame, buckets: int = 64) -> DataFrame:
+    """The predicate of one triple replaced by another predicate of the language."""
+    at = _pick(F.size("target_triples"), "predicate")
+    words = F.transform("target_triples", lambda t: split_triple_strict(t)["p"])
+    keyed = _with_other(rows.where(F.size("target_triples") > 0), _pool(rows, words, buckets), buckets, "predicatepool", split_triple_strict(F.get("target_triples", at))["p"])
+    return keyed.withColumn("target_triples", _replace_at(C("target_triples"), at, lambda x: _component(x, F.lit(1), lambda y: C("other")))).drop("other")
+
+
+def entity_substitution_text(rows: DataFrame, buckets: int = 64) -> DataFrame:
+    """The first entity of the triples that the text names replaced in it by another entity of the language; the triples stay."""
+    shown = F.transform(_entities(C("target_triples")), display_label)
+    named = rows.withColumn("_e", F.get(F.filter(shown, lambda e: F.contains(F.lower("target_text"), F.lower(e))), F.lit(0))).where("_e is not null")
+    keyed = _with_other(named, _pool(rows, _entities(C("target_triples")), buckets), buckets, "textpool", C("_e"))
+    return keyed.withColumn("target_text", replace_once_ci(C("target_text"), C("_e"), display_label(C("other")))).drop("_e", "other")
+
+
+def alternative_reference(rows: DataFrame) -> DataFrame:
+    """Benign: the text replaced by the next other text of the same entry and language."""
+    others = F.filter("target_texts", lambda x: (F.trim(x) != "") & (x != C("target_text")))
+    return rows.withColumn("_o", others).where(F.size("_o") > 0).withColumn("target_text", F.get("_o", _pick(F.size("_o"), "alternative"))).drop("_o")
 
 
 def literal_text_only(rows: DataFrame) -> DataFrame:
@@ -110,11 +146,13 @@ def literal_text_only(rows: DataFrame) -> DataFrame:
 
 
 def literal_both(rows: DataFrame) -> DataFrame:
+    """A number changed in the text and in the triples, there as a whole number only."""
     token = first_shared_number(C("target_triples"), C("target_text"))
     changed = rows.withColumn("_t", token).where("_t is not null")
+    whole = F.concat(F.lit("(?<!\\d)(?<!\\d[.,/:-])\\Q"), C("_t"), F.lit("\\E(?![.,/:-]?\\d)"))
     return changed.withColumns({
         "target_text": replace_once_ci(C("target_text"), C("_t"), perturb_number(C("_t"))),
-        "target_triples": F.transform("target_triples", lambda x: F.replace(x, C("_t"), perturb_number(C("_t")))),
+        "target_triples": F.transform("target_triples", lambda x: F.regexp_replace(x, whole, perturb_number(C("_t")))),
     }).drop("_t")
 
 
@@ -138,10 +176,10 @@ def clause_insertion(rows: DataFrame) -> DataFrame:
 
 
 def plausible_addition(rows: DataFrame) -> DataFrame:
-    """A template sentence about the subject that no triple supports."""
-    name = F.replace(split_triple_strict(F.get("target_triples", F.lit(0)))["s"], F.lit("_"), F.lit(" "))
+    """A template sentence that no triple supports, about the first subject or object that is no literal."""
+    name = display_label(F.get(_entities(C("target_triples")), F.lit(0)))
     text = F.when(C("language") == "ca", F.concat(name, F.lit(" és un lloc conegut."))).otherwise(F.concat(name, F.lit(" es un lugar conocido.")))
-    return rows.where(F.size("target_triples") > 0).withColumn("target_text", F.concat_ws(" ", "target_text", text))
+    return rows.where(F.size(_entities(C("target_triples"))) > 0).withColumn("target_text", F.concat_ws(" ", "target_text", text))
 
 
 def with_donor(rows: DataFrame, donors: DataFrame) -> DataFrame:
@@ -169,6 +207,9 @@ TYPES: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
     "qa1_missing_component": (missing_component, "target_rdf_well_formed"),
     "qa1_source_markup": (source_markup, "target_rdf_well_formed"),
     "qa2_entity_substitution_triple": (entity_substitution, "text"),
+    "qa2_predicate_substitution_triple": (predicate_substitution, "text"),
+    "qa2_entity_substitution_text": (entity_substitution_text, "minimum_text_groundedness"),
+    "benign_alternative_reference": (alternative_reference, ""),
     "qa2_structured_predicate_retention": (predicate_retention, "structured_predicate_review_flag"),
     "qa2_literal_text_only": (literal_text_only, "target_text_literal_retention"),
     "qa2_literal_both": (literal_both, "source_target_literal_preservation"),
@@ -242,6 +283,13 @@ def inconsistent_mappings(components: DataFrame, keys: list[str], source: str, t
     return rows.withColumn("changed", chosen).withColumn(target, F.when(C("changed"), F.concat(C(target), F.lit(" alt"))).otherwise(C(target)))
 
 
+def benign_variation(components: DataFrame, keys: list[str], source: str, raw: str, record: str, items: int = 20, least: int = 5, share: float = 0.3) -> DataFrame:
+    """As ``inconsistent_mappings``, with target forms changed only in case and blanks, which normalisation undoes; 0 as share gives the clean control."""
+    made = inconsistent_mappings(components, keys, source, raw, record, items, least, share)
+    plain = F.regexp_replace(raw, " alt$", "")
+    return made.withColumn(raw, F.when(C("changed"), F.concat(F.lit(" "), F.upper(F.replace(plain, F.lit(" "), F.lit("_"))))).otherwise(C(raw)))
+
+
 def consistency_detection(profile_before: DataFrame, profile_after: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, harmed, detected): items whose mapping became inconsistent, by the review signal before and after."""
     a = profile_before.select(*keys, C("mapping_review_signal").alias("_a"))

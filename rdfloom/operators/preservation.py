@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rdfloom.functions.literals import numeric_atoms, retention, triple_atoms
 from rdfloom.functions.similarity import cosine
-from rdfloom.functions.text import is_camel_case, normalize_label, split_triple
+from rdfloom.functions.text import is_camel_case, normalize_labels, split_triple
 
 
 def literal_preservation(rows: DataFrame, source: str, target: str, language: str, source_language: str = "en") -> DataFrame:
@@ -40,22 +40,27 @@ def predicates(triples: Column) -> Column:
     return F.transform(triples, lambda t: split_triple(t)["p"])
 
 
+def _same_labels(source: Column, target: Column) -> Column:
+    return F.zip_with(normalize_labels(predicates(source)), normalize_labels(predicates(target)), lambda a, b: a == b)
+
+
 def alignment_valid(source: Column, target: Column) -> Column:
     """Equal numbers of triples, some, and no blank predicate on either side."""
-    blank = lambda ts: F.exists(predicates(ts), lambda p: normalize_label(p) == "")
+    blank = lambda ts: F.array_contains(normalize_labels(predicates(ts)), "")
     return F.coalesce((F.size(source) == F.size(target)) & (F.size(source) > 0) & ~blank(source) & ~blank(target), F.lit(False))
 
 
 def structured_predicate_kept(source: Column, target: Column) -> Column:
     """Some aligned pair has the same label and a camel-case source predicate; NULL where the sets do not align."""
-    pairs = F.zip_with(predicates(source), predicates(target), lambda a, b: (normalize_label(a) == normalize_label(b)) & is_camel_case(a))
+    pairs = F.zip_with(_same_labels(source, target), predicates(source), lambda same, a: same & is_camel_case(a))
     return F.when(alignment_valid(source, target), F.exists(pairs, lambda x: x))
 
 
 def identical_predicate(source: Column, target: Column) -> Column:
     """Some pair, as far as both sets go, has the same label and no camel-case source predicate."""
-    pairs = F.zip_with(predicates(source), predicates(target), lambda a, b: (normalize_label(a) == normalize_label(b)) & ~is_camel_case(a) & (normalize_label(a) != ""))
-    return F.exists(pairs, lambda x: F.coalesce(x, F.lit(False)))
+    named = F.transform(normalize_labels(predicates(source)), lambda a: a != "")
+    plain = F.zip_with(named, predicates(source), lambda x, a: x & ~is_camel_case(a))
+    return F.exists(F.zip_with(_same_labels(source, target), plain, lambda x, y: x & y), lambda x: F.coalesce(x, F.lit(False)))
 
 
 def pair_similarity(pairs: DataFrame, vectors: DataFrame, left: str, right: str, key: str, vector: str, name: str = "similarity") -> DataFrame:

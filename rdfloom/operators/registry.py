@@ -23,13 +23,20 @@ def pending(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def similarities(rows: DataFrame, candidates: list[str]) -> DataFrame:
-    """The rows with ``_ij``, the sequence ratio of candidates i and j, all in one Arrow pass."""
+    """The rows with ``_ij``, the sequence ratio of candidates i and j; rows that have them stay as they are."""
+    if "_01" in rows.columns:
+        return rows
     text = [normalize_space(F.col(c)) for c in candidates]
     return rows.withColumns({
         f"_{i}{j}": sequence_ratio(text[i], text[j]) for i in range(len(candidates)) for j in range(i + 1, len(candidates))
     })
 
 
+def _without(made: DataFrame, rows: DataFrame) -> DataFrame:
+    """The frame without similarities that its rows did not bring."""
+    return made if "_01" in rows.columns else made.drop("_01", "_02", "_12")
+
+
 def vote_details(rows: DataFrame, candidates: list[str], threshold: Column) -> DataFrame:
     """The three similarities, rounded to four places, and whether each pair agrees."""
     scored = similarities(rows, candidates)
@@ -68,7 +75,7 @@ def majority_vote(rows: DataFrame, candidates: list[str], threshold: Column, nam
     vote = (
         F.when(near01 & near02, medoid(0, 1, 2)).when(near01, a).when(near02, a).when(near12, b).otherwise(medoid(0, 1, 2))
     )
-    return scored.withColumn(name, vote).drop("_01", "_02", "_12")
+    return _without(scored.withColumn(name, vote), rows)
 
 
 def component_vote(rows: DataFrame, candidates: list[str], threshold: Column, penalty: float = 0.0, name: str = "voted") -> DataFrame:
@@ -90,7 +97,7 @@ def component_vote(rows: DataFrame, candidates: list[str], threshold: Column, pe
 
     one = edges == 1
     vote = F.when(one & near[0, 1], best(0, 1)).when(one & near[0, 2], best(0, 2)).when(one & near[1, 2], best(1, 2)).otherwise(best(0, 1, 2))
-    return similarities(rows, candidates).withColumn(name, vote).drop("_01", "_02", "_12")
+    return _without(similarities(rows, candidates).withColumn(name, vote), rows)
 
 
 def precedence(*sources: Column) -> Column:

@@ -167,3 +167,38 @@ def direction_rates(deltas: DataFrame, metrics: list[str], *by: str, tolerance:
         d = F.col(f"delta_{m}")
         out += [rate_with_null_false(d < 0).alias(f"{m}_decrease_rate"), rate_with_null_false(d >= -tolerance).alias(f"{m}_non_decrease_rate")]
     return deltas.groupBy(*by).agg(*out)
+
+
+def metric_detection(pairs: DataFrame, by: list[str], clean: str, variant: str, lower: bool = True) -> DataFrame:
+    """Of clean and corrupted values of a metric, by group: pairs, mean change, the share that moves as expected, that does
+    not decrease, and AUROC and average precision of telling corrupted from clean. NULL on either side is no pair."""
+    known = pairs.where(F.col(clean).isNotNull() & F.col(variant).isNotNull())
+    sign = -1.0 if lower else 1.0
+    moved = known.groupBy(*by).agg(
+        F.count("*").alias("pairs"), F.avg(F.col(variant) - F.col(clean)).alias("mean_change"),
+        F.avg(((F.col(variant) - F.col(clean)) * sign > 0).cast("double")).alias("expected_direction_rate"),
+        F.avg((F.col(variant) >= F.col(clean)).cast("double")).alias("non_decrease_rate"),
+    )
+    sides = known.select(*by, F.inline(F.array(F.struct((F.col(clean) * sign).alias("_s"), F.lit(0).alias("_y")), F.struct((F.col(variant) * sign).alias("_s"), F.lit(1).alias("_y")))))
+    return moved.join(ranking(sides, by, "_s", "_y").select(*by, "auroc", "average_precision"), by)
+
+
+def control_selectivity(flags: DataFrame, kind: str, by: list[str], flag: str, controls: tuple[str, ...]) -> DataFrame:
+    """By group: how often harmless controls are flagged, how often corrupted rows are, and the difference; NULL flags count as not raised."""
+    raised = F.coalesce(F.col(flag), F.lit(False)).cast("double")
+    calm = F.col(kind).isin(*controls)
+    return flags.groupBy(*by).agg(
+        F.count_if(calm).alias("controls"), F.count_if(~calm).alias("corrupted"), F.avg(F.when(calm, raised)).alias("false_positive_rate"), F.avg(F.when(~calm, raised)).alias("detection_rate")
+    ).withColumn("selectivity", F.col("detection_rate") - F.col("false_positive_rate"))
+
+
+def combined_summary(parts: dict[str, DataFrame], language: str) -> DataFrame:
+    """(audit, language, types, variants, weighted and minimum detection rate) of each audit's (language, detection_rate, variants) rows."""
+    out = None
+    for audit, rows in parts.items():
+        one = rows.groupBy(language).agg(
+            F.count("*").alias("types"), F.sum("variants").alias("variants"), (F.sum(F.col("detection_rate") * F.col("variants")) / F.sum("variants")).alias("weighted_detection_rate"),
+            F.min("detection_rate").alias("minimum_detection_rate"),
+        ).select(F.lit(audit).alias("audit"), language, "types", "variants", "weighted_detection_rate", "minimum_detection_rate")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -13,6 +13,10 @@ from rdfloom.session import cut, table
 from rdfloom.streaming import streams
 
 
+#: Labelled documents of each language, whole, that the detector of ``language_flags`` is fitted on.
+DETECTOR_ROWS = 300
+
+
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "cases").drop("loaded_at").dropDuplicates(["case_id"])
 
@@ -135,6 +139,31 @@ def paired_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.paired_severity(kinds, "l_orderkey", "severity", "l_quantity").withColumn("severe_lower_rate", F.round("severe_lower_rate", 8))
 
 
+def _line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first line of each order as the clean value, its second as the changed one."""
+    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag").where("l_linenumber <= 2")
+    at = lambda k, c: F.max(F.when(F.col("l_linenumber") == k, F.col(c)))
+    return rows.groupBy("l_orderkey").agg(at(1, "l_quantity").alias("clean"), at(2, "l_quantity").alias("variant"), at(1, "l_returnflag").alias("kind"))
+
+
+def metric_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = statistics.metric_detection(_line_pairs(spark, sf_dir), ["kind"], "clean", "variant")
+    return out.withColumns({c: F.round(c, 8) for c in ("mean_change", "expected_direction_rate", "non_decrease_rate", "auroc", "average_precision")})
+
+
+def control_selectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _scores(spark, sf_dir).withColumn("level", _risk("automatic_risk")).where("level is not null")
+    out = statistics.control_selectivity(rows.withColumn("flag", F.col("failed") > 0), "level", ["language"], "flag", ("Low",))
+    return out.withColumns({c: F.round(c, 8) for c in ("false_positive_rate", "detection_rate", "selectivity")})
+
+
+def combined_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _scores(spark, sf_dir).withColumn("subqa", F.upper(F.replace("subqa", F.lit(" "), F.lit(""))))
+    rate = lambda c: rows.groupBy("language", "subqa").agg(F.avg(F.coalesce(c, F.lit(False)).cast("double")).alias("detection_rate"), F.count("*").alias("variants"))
+    out = statistics.combined_summary({"checks": rate(F.col("failed") > 0), "score": rate(F.col("score") < 0.5)}, "language")
+    return out.withColumns({c: F.round(c, 8) for c in ("weighted_detection_rate", "minimum_detection_rate")})
+
+
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.cluster_bootstrap(table(spark, sf_dir, "orders", "o_custkey", "o_totalprice", "o_orderstatus"), ["o_orderstatus"], "o_custkey", "o_totalprice")
 
@@ -238,8 +267,8 @@ def corpus_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "verbalisation_registry").drop("loaded_at").distinct()
     names = ["ca_nllb", "ca_madlad", "ca_salamandra"]
+    rows = registry.similarities(table(spark, sf_dir, "verbalisation_registry").drop("loaded_at").distinct(), names)
     out = registry.component_vote(registry.majority_vote(rows, names, F.col("vote_threshold"), "majority"), names, F.col("vote_threshold"), name="component")
     return out.select("xml_path", "eid", "source_lid", "processed_at", "majority", "component")
 
@@ -259,7 +288,7 @@ def relative_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detector trained on a bounded sample of the labelled texts, flags and code switch for every case."""
     documents = table(spark, sf_dir, "documents", "doc_id", "text", "lang").where("lang is not null")
-    sample = sampling.equal_sample(documents, ["lang"], "doc_id", 300).select(F.substring("text", 1, 1_000).alias("text"), "lang")
+    sample = sampling.equal_sample(documents, ["lang"], "doc_id", DETECTOR_ROWS).select("text", "lang")
     model = language.Detector.fit(sample, "text", "lang", features=20_000, iterations=15)
     rows = _cases(spark, sf_dir).where("target_text <> '' and language in ('es', 'ca')").select("case_id", "language", "english_text", "target_text")
     flagged = language.language_flags(model.probabilities(language.expected_known(model.labels, rows, "language"), "target_text"), "probabilities", "language", "english_text", "target_text")
@@ -318,7 +347,10 @@ def stress_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     components = mapping.component_rows(_stress_entries(spark, sf_dir), "record_key", "language").where("source_normalized <> '' and target_normalized <> ''")
     changed = perturb.inconsistent_mappings(components, ["language", "component_type"], "source_normalized", "target_normalized", "record_key").where("changed")
     kind = F.when(F.col("component_type") == "predicate", "qa1_predicate_inconsistency").otherwise("qa1_entity_inconsistency")
-    return made.unionByName(changed.select(kind.alias("corruption_type"), "language")).groupBy("corruption_type", "language").agg(F.count("*").alias("variants"))
+    benign = perturb.benign_variation(components, ["language", "component_type"], "source_normalized", "target_normalized", "record_key").where("changed")
+    calm = F.when(F.col("component_type") == "predicate", "qa1_predicate_benign_variation").otherwise("qa1_entity_benign_variation")
+    both = changed.select(kind.alias("corruption_type"), "language").unionByName(benign.select(calm.alias("corruption_type"), "language"))
+    return made.unionByName(both).groupBy("corruption_type", "language").agg(F.count("*").alias("variants"))
 
 
 def manifest_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,7 +390,7 @@ def latest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     embed_cosine_pairs, coverage_min, groundedness_min, mean_similarity, aligned_advantage, calibration_thresholds, calibrated_pass, review_localisation, metric_summary, weighted_means,
-    weighted_detection, tail_thresholds, knee_threshold, auroc_ap, paired_severity, bootstrap_interval, agreement_sets, confusion, variation_risk, hash_sample, stratified_sample, equal_sample,
+    weighted_detection, tail_thresholds, knee_threshold, auroc_ap, paired_severity, metric_detection, control_selectivity, combined_summary, bootstrap_interval, agreement_sets, confusion, variation_risk, hash_sample, stratified_sample, equal_sample,
     one_per_record, quota_sample, anchors, best_expansion, token_ratio, score_levels, reference_scores, corpus_bleu, majority_vote, literal_measures, relative_retention, language_flags,
     stress_detection, stress_variants, manifest_issues, pivot_languages, unpivot_metrics, stream_tumbling, stream_sliding, stream_sessions, latest_event,
 )}
@@ -380,6 +412,9 @@ ORACLE = {
     "knee_threshold": f"with r as (select subqa, score as v, row_number() over (partition by subqa order by score) as i, count(*) over (partition by subqa) as n, quantile_cont(score, 0.25) over (partition by subqa) as q from {_SCORES} where score is not null), l as (select *, greatest(3, ceil(n * 0.25)) as k from r), t as (select *, min(v) over (partition by subqa) as lo, max(v) over (partition by subqa) as hi from l where i <= k), d as (select *, (v - lo) / nullif(hi - lo, 0) - (i - 1) / (k - 1) as d from t) select subqa, round(case when any_value(n) < 10 then any_value(q) when any_value(hi) - any_value(lo) < 1e-8 then any_value(hi) else arg_max(v, struct_pack(d := d, i := -i)) end, 8) as threshold from d group by 1",
     "auroc_ap": f"{_LABELS}, c as (select part, s, sum(y)::bigint as p, sum(1 - y)::bigint as n from r where s is not null group by 1, 2), w as (select *, coalesce(sum(n) over (partition by part order by s rows between unbounded preceding and 1 preceding), 0) as below, sum(p) over (partition by part order by s desc) as tp, sum(p + n) over (partition by part order by s desc) as said from c) select part, round(sum(p * (below + n / 2)) / (sum(p) * sum(n)), 8) as auroc, round(sum(p * tp / said) / sum(p), 8) as average_precision, sum(p)::bigint as positives, sum(n)::bigint as negatives from w group by 1",
     "paired_severity": "with w as (select l_orderkey, any_value(l_quantity) filter (l_linenumber = 1) as mild, any_value(l_quantity) filter (l_linenumber = 2) as severe from lineitem where l_linenumber <= 2 group by 1) select count(*) as pairs, round(avg((severe < mild)::int), 8) as severe_lower_rate from w where mild is not null and severe is not null",
+    "metric_detection": "with p as (select l_orderkey, max(l_quantity) filter (l_linenumber = 1) as a, max(l_quantity) filter (l_linenumber = 2) as b, max(l_returnflag) filter (l_linenumber = 1) as kind from lineitem where l_linenumber <= 2 group by 1), k as (select * from p where a is not null and b is not null), m as (select kind, count(*) as pairs, round(avg(b - a), 8) as mean_change, round(avg((b < a)::int), 8) as expected_direction_rate, round(avg((b >= a)::int), 8) as non_decrease_rate from k group by 1), r as (select kind, -a as s, 0 as y from k union all select kind, -b, 1 from k), c as (select kind, s, sum(y)::bigint as p, sum(1 - y)::bigint as n from r group by 1, 2), w as (select *, coalesce(sum(n) over (partition by kind order by s rows between unbounded preceding and 1 preceding), 0) as below, sum(p) over (partition by kind order by s desc) as tp, sum(p + n) over (partition by kind order by s desc) as said from c), g as (select kind, round(sum(p * (below + n / 2)) / (sum(p) * sum(n)), 8) as auroc, round(sum(p * tp / said) / sum(p), 8) as average_precision from w group by 1) select * from m join g using (kind)",
+    "control_selectivity": f"with r as (select language, lower(trim(automatic_risk)) = 'low' as c, coalesce(failed > 0, false)::int as f from {_SCORES} where automatic_risk is not null), g as (select language, count(*) filter (c) as controls, count(*) filter (not c) as corrupted, avg(f) filter (c) as a, avg(f) filter (not c) as b from r group by 1) select language, controls, corrupted, round(a, 8) as false_positive_rate, round(b, 8) as detection_rate, round(b - a, 8) as selectivity from g",
+    "combined_summary": f"with r as (select language, upper(replace(subqa, ' ', '')) as s, coalesce(failed > 0, false)::int as x, coalesce(score < 0.5, false)::int as y from {_SCORES}), g as (select 'checks' as audit, language, s, avg(x) as d, count(*) as n from r group by all union all select 'score', language, s, avg(y), count(*) from r group by all) select audit, language, count(*) as types, sum(n)::bigint as variants, round(sum(d * n) / sum(n), 8) as weighted_detection_rate, round(min(d), 8) as minimum_detection_rate from g group by 1, 2",
     "agreement_sets": _AGREE,
     "confusion": f"select language, upper(trim(automatic_risk)[1]) || lower(trim(automatic_risk)[2:]) as automatic, case when failed > 1 then 'High' when failed = 1 then 'Medium' else 'Low' end as manual, count(*) as cases from {_SCORES} group by 1, 2, 3",
     "variation_risk": f"with r as (select *, score * 2 as x from {_SCORES}), t as (select language, quantile_cont(score, 0.01) as a1, quantile_cont(x, 0.01) as r1, quantile_cont(x, 0.05) as r5, quantile_cont(x, 0.95) as r95, quantile_cont(x, 0.99) as r99 from r group by 1), k as (select r.language, case when coalesce(score <= a1, false) or (coalesce(x < r1 or x > r99, false) and coalesce(score <= 0, false)) then 'High' when coalesce(score <= 0, false) or coalesce(x < r5 or x > r95, false) or score is null then 'Medium' else 'Low' end as automatic_risk from r join t using (language)) select language, automatic_risk, count(*) as cases from k group by 1, 2",

@@ -221,6 +221,10 @@ def in_all_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CASES = "(select distinct * exclude (loaded_at) from cases)"
 _EX = "(select distinct * exclude (loaded_at) from examples)"
+#: The examples with the code that a label names, by the definition of ``label_code``.
+_BASE = "string_split_regex(regexp_replace(lower(lang), '^[\\s\u00a0]+|[\\s\u00a0]+$', '', 'g'), '[-_ .@]')[1]"
+_CODE = "case " + " ".join(f"when {_BASE} in ({', '.join(repr(x) for x in spellings)}) then '{code}'" for code, spellings in X.SPELLINGS.items()) + " end"
+_EXL = f"(select * replace ({_CODE} as lang) from {_EX})"
 _TOKENS = "case when " + _NS + " = '' then [] else string_split(" + _NS + ", ' ') end"
 
 QUERIES = {
@@ -242,7 +246,7 @@ ORACLE = {
     "mapping_review": f"{_PROFILE} select language, component_type, source_normalized, occurrences, case when dominant_target_count / occurrences < 0.9 then 'High' else 'Medium' end as automatic_risk from q where target_form_count > 1",
     "supplier_profile": "with f as (select l_partkey, l_suppkey, count(*) as n from lineitem group by 1, 2) select l_partkey, sum(n)::bigint as occurrences, count(*) as target_form_count, arg_min(l_suppkey, struct_pack(a := -n, b := l_suppkey)) as dominant_target_form, max(n) as dominant_target_count, round(max(n) / sum(n), 9) as dominant_mapping_rate from f group by 1 having sum(n) >= 2",
     "mapping_examples": f"{_COMPONENTS}, v as (select language, source_normalized, target_normalized, min(record_key) as o from r where component_type = 'predicate' and source_normalized <> '' group by 1, 2, 3), k as (select *, row_number() over (partition by language, source_normalized order by o, target_normalized) as rn from v) select language, source_normalized, string_agg(target_normalized, '; ' order by rn) as examples from k where rn <= 4 group by 1, 2",
-    "outer_align": f"with e as (select * from {_EX} where target is not null), a as (select split, bucket, xml_file, eid, lid, min(target) as source_text from e where lang = 'en' group by all), b as (select split, bucket, xml_file, eid, lid, min(target) as target_text, count(*) as n from e where lang = 'ca' group by all) select split, bucket, xml_file, eid, lid, source_text, target_text, coalesce(n, 0) > 1 as duplicate_target from a full join b using (split, bucket, xml_file, eid, lid)",
+    "outer_align": f"with e as (select * from {_EXL} where target is not null), a as (select split, bucket, xml_file, eid, lid, min(target) as source_text from e where lang = 'en' group by all), b as (select split, bucket, xml_file, eid, lid, min(target) as target_text, count(*) as n from e where lang = 'ca' group by all) select split, bucket, xml_file, eid, lid, source_text, target_text, coalesce(n, 0) > 1 as duplicate_target from a full join b using (split, bucket, xml_file, eid, lid)",
     "comparison_reference": f"with f as (select xml_path || '::' || eid as record, source_lid as lid, min(source_en) as t from verbalisation_registry where {_NS.format('source_lid')} <> '' and {_NS.format('source_en')} <> '' group by 1, 2) select f.record, f.lid, o.lid as comparison_lid, o.t as comparison_text from f left join lateral (select g.lid, g.t from f g where g.record = f.record and g.lid <> f.lid order by g.lid, g.t limit 1) o on true",
     "donor_select": """with k as (select distinct record_key as r, expected_triple_count as e, category as c, sha256('donor|' || record_key) as h from qa11_entries),
 q as (select *, ('0x' || substr(h, 1, 4))::int % 64 as b from k),
@@ -257,7 +261,7 @@ from q left join na using (e, b) left join nb using (e, b) left join sa using (e
     "vote_agreement": "with r as (select distinct * exclude (loaded_at), case when vote_threshold > 0 and vote_threshold <= 1 then vote_threshold else 0.9 end as t from verbalisation_registry where sim_nllb_madlad is not null) select category, count(*) as rows, count(*) filter (sim_nllb_madlad >= t) as nllb_madlad, count(*) filter (sim_nllb_salamandra >= t) as nllb_salamandra, count(*) filter (sim_madlad_salamandra >= t) as madlad_salamandra from r group by 1",
     "distinct_components": f"with t as (select unnest(source_triples) as t from {_ENTRIES} where language = 'ca'), s as (select case when len(string_split(t, ' | ')) >= 3 then ' | ' else '|' end as d, t from t), f as (select trim(string_split(t, d)[1]) as a, trim(string_split(t, d)[2]) as b, trim(case when d = '|' then array_to_string(string_split(t, '|')[3:], '|') else array_to_string(string_split(t, ' | ')[3:], ' | ') end) as c from s where len(string_split(t, d)) >= 3) select kind, token, count(*) as records from (select 'entity' as kind, a as token from f union all select 'relation', b from f union all select 'entity', c from f) group by 1, 2",
     "triple_rewrite": f"with e as (select record_key, source_triples from {_ENTRIES} where language = 'ca'), p as (select record_key, i, source_triples[i] as t from e, unnest(range(1, len(source_triples) + 1)) as u(i)), s as (select *, case when len(string_split(t, ' | ')) >= 3 then ' | ' else '|' end as d from p), f as (select record_key, i, coalesce(case when len(string_split(t, d)) >= 3 then trim(string_split(t, d)[1]) end, '') as a, coalesce(case when len(string_split(t, d)) >= 3 then trim(string_split(t, d)[2]) end, '') as b, coalesce(case when len(string_split(t, d)) >= 3 then trim(case when d = '|' then array_to_string(string_split(t, '|')[3:], '|') else array_to_string(string_split(t, ' | ')[3:], ' | ') end) end, '') as c from s), m as (select component_type, source_example, min(dominant_target_form) as o from qa12_variable_mappings where language = 'ca' group by 1, 2) select record_key, string_agg(coalesce(x.o, a) || ' | ' || coalesce(y.o, b) || ' | ' || coalesce(z.o, c), chr(10) order by i) as rewritten from f left join m x on x.component_type = 'entity_or_value' and x.source_example = a left join m y on y.component_type = 'predicate' and y.source_example = b left join m z on z.component_type = 'entity_or_value' and z.source_example = c group by 1",
-    "registry_sync": "with l as (select split || '/' || bucket || '/' || xml_file as xml_path, eid, lid, min(target) as o from examples where lang = 'ca' and target is not null group by all), r as (select xml_path, eid, source_lid as lid, arg_max(final_ca, struct_pack(a := processed_at, b := final_ca)) as n from verbalisation_registry where upper(status) = 'OK' and final_ca is not null group by all) select case when n is null then 'kept' when o is null then 'inserted' when o = n then 'unchanged' else 'updated' end as action, count(*) as rows from l full join r using (xml_path, eid, lid) group by 1",
+    "registry_sync": f"with l as (select split || '/' || bucket || '/' || xml_file as xml_path, eid, lid, min(target) as o from {_EXL} where lang = 'ca' and target is not null group by all), r as (select xml_path, eid, source_lid as lid, arg_max(final_ca, struct_pack(a := processed_at, b := final_ca)) as n from verbalisation_registry where upper(status) = 'OK' and final_ca is not null group by all) select case when n is null then 'kept' when o is null then 'inserted' when o = n then 'unchanged' else 'updated' end as action, count(*) as rows from l full join r using (xml_path, eid, lid) group by 1",
     "jaccard_pairs": "with r as (select distinct xml_path, eid, source_lid, processed_at, regexp_replace(ca_nllb, '[^ -~]', '', 'g') as x, regexp_replace(ca_madlad, '[^ -~]', '', 'g') as y from verbalisation_registry where ca_nllb is not null and ca_madlad is not null), t as (select *, list_distinct(list_filter(string_split(trim(regexp_replace(lower(x), '[^\\w\\s]+', ' ', 'g')), ' '), lambda w: w <> '')) as a, list_distinct(list_filter(string_split(trim(regexp_replace(lower(y), '[^\\w\\s]+', ' ', 'g')), ' '), lambda w: w <> '')) as b from r) select xml_path, eid, source_lid, processed_at, round(case when len(a) + len(b) = 0 then 1.0 else len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) end, 9) as jaccard from t",
     "text_functions": f"select case_id, {_NS.format('english_text')} as plain, len(list_filter(string_split(regexp_replace({_NS.format('english_text')}, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> ''))::int as units, len({_TOKENS.format('english_text')})::int as tokens, len(list_filter(range(0, len({_TOKENS.format('english_text')}), 8), lambda i: least(10, len({_TOKENS.format('english_text')}) - i) >= 6))::int as windows, regexp_replace(record_or_component, '([a-zà-ÿ])([A-ZÀ-Ý])', '\\1 \\2', 'g') as words, regexp_replace(trim(record_or_component), '\\s+', '_', 'g') as token, substr(sha256(case_id), 1, 12) as digest from {_CASES}",
     "token_windows": f"with t as (select case_id, {_TOKENS.format('english_text')} as w from {_CASES}), s as (select case_id, w, unnest(list_filter(range(0, len(w), 8), lambda i: least(10, len(w) - i) >= 6)) as i from t) select case_id, (i / 8)::int as window_index, array_to_string(w[i + 1 : i + 10], ' ') as window_text from s",
@@ -266,5 +270,5 @@ from q left join na using (e, b) left join nb using (e, b) left join sa using (e
     "expansion_ratio": f"with r as (select subqa, len({_TOKENS.format('target_text')}) / greatest(len({_TOKENS.format('english_text')}), 1) as r from {_CASES} where english_text <> '' and target_text <> '') select subqa, count(*) as texts, round(avg(r), 8) as mean, round(median(r), 8) as median, round(stddev_samp(r), 8) as deviation from r group by 1",
     "training_set": f"select example_id, concat_ws('|', coalesce(split, ''), coalesce(bucket, ''), coalesce(xml_file, ''), coalesce(eid, ''), coalesce(lid, ''), coalesce(lang, '')) as align_key, length(prompt)::int as prompt_characters from {_EX} where prompt is not null and target is not null",
     "generation_report": f"select split, category, count(*) as rows, count(*) filter ({_NS.format('target')} <> '') as non_empty from {_EX} group by 1, 2",
-    "in_all_languages": f"with r as (select example_id, lang, split || '|||' || category || '|||' || eid as align from {_EX} where lang in ('en', 'es', 'ca')) select * from r where align in (select align from r group by 1 having count(distinct lang) >= 3)",
+    "in_all_languages": f"with r as (select example_id, lang, split || '|||' || category || '|||' || eid as align from {_EXL} where lang in ('en', 'es', 'ca')) select * from r where align in (select align from r group by 1 having count(distinct lang) >= 3)",
 }

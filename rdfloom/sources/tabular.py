@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rdfloom.session import path_exists
+
 
 def read_csv(spark: SparkSession, path: str, lists: tuple[str, ...] = (), source: str | None = None) -> DataFrame:
     """A CSV file, or several by a pattern, all columns text; list columns are read as JSON, and ``source`` names a column for the file."""
@@ -22,7 +24,7 @@ def read_csv(spark: SparkSession, path: str, lists: tuple[str, ...] = (), source
 def read_first(spark: SparkSession, *paths: str) -> DataFrame | None:
     """The first path that exists, read by its ending; None if there is none."""
     for path in paths:
-        if Path(path).exists():
+        if path_exists(spark, path):
             return spark.read.json(path) if path.endswith((".json", ".jsonl")) else read_csv(spark, path) if path.endswith(".csv") else spark.read.parquet(path)
     return None
 
@@ -58,7 +60,7 @@ def write_views(frame: DataFrame, path: str, track: str, views: dict[str, list[s
 def append_registry(spark: SparkSession, rows: DataFrame, path: str, keys: list[str]) -> DataFrame:
     """Append the rows whose keys the registry lacks, and return the registry."""
     new = rows
-    if Path(path).exists():
+    if path_exists(spark, path):
         new = rows.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
     new.write.mode("append").parquet(path)
     return spark.read.parquet(path)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rdfloom.functions import text
 from rdfloom.operators import generation, integrity, language, mapping, perturb, preservation, registry, review, sampling, statistics, variation
 from rdfloom.plans import measures, structure
 
@@ -162,7 +163,7 @@ def stress(spark):
 def test_perturbations_are_detected(spark):
     made = perturb.variants(stress(spark)).cache()
     counts = {r.corruption_type: r["count"] for r in made.groupBy("corruption_type").count().collect()}
-    assert counts["clean"] == 4 and set(perturb.TYPES) - set(counts) <= {"qa2_entity_substitution_triple"}
+    assert counts["clean"] == 4 and set(perturb.TYPES) - set(counts) == {"benign_alternative_reference"}
     assert {r.detection_rate for r in perturb.detection(integrity.entry_integrity(made)).collect()} == {1.0}
     assert integrity.entry_integrity(made.where("corruption_type = 'clean'")).where("not record_integrity").count() == 0
     assert perturb.manifest_issues(made).count() == 0 and perturb.manifest_issues(made.unionByName(made)).where("rule = 'duplicate_variant_id'").count() == made.count()
@@ -172,6 +173,35 @@ def test_perturbations_are_detected(spark):
     assert perturb.wrong_record_text(stress(spark), donors).count() == 2 and perturb.unrelated_addition(stress(spark), donors).count() == 2
 
 
+def test_substitutions(spark):
+    schema = "record string, lid string, language string, source_triples array<string>, target_triples array<string>, source_text string, target_text string, target_lids array<string>, target_texts array<string>"
+    said = "La Casa {0} té 2 portes i és a Vila {0} des de 2012."
+    data = [(f"r{i}", "Id1", "es", ["A | p | B"], [f"Casa_{x} | lloc{x} | Vila_{x}", f"Casa_{x} | any | 2", f"Casa_{x} | llarg | 2012"], "", said.format(x), ["Id1"], [f"La Casa {x}.", said.format(x)]) for i, x in enumerate("ABC")]
+    frame = spark.createDataFrame([*data, ("r9", "Id1", "ca", ["A | p | B"], ["3 | n | 2"], "", "2", ["Id1"], ["2"])], schema)
+    both = {r.record: r for r in perturb.literal_both(frame).collect()}
+    assert both["r2"].target_triples == ["Casa_C | llocC | Vila_C", "Casa_C | any | 3", "Casa_C | llarg | 2012"] and "té 3 portes" in both["r2"].target_text
+    for made, changed in ((perturb.entity_substitution(frame), "target_triples"), (perturb.predicate_substitution(frame), "target_triples"), (perturb.entity_substitution_text(frame), "target_text")):
+        before = {r.record: r[changed] for r in frame.collect()}
+        got = {r.record: r[changed] for r in made.collect()}
+        assert got.keys() >= {"r0", "r1", "r2"} and set(made.columns) == set(frame.columns) and all(got[k] != before[k] for k in got)
+    assert {r.target_text for r in perturb.alternative_reference(frame).collect()} == {f"La Casa {x}." for x in "ABC"}
+    assert {r.record: r.target_text.split(". ")[-1] for r in perturb.plausible_addition(frame).collect()} == {f"r{i}": f"Casa {x} es un lugar conocido." for i, x in enumerate("ABC")}
+    parts = spark.createDataFrame([(f"r{i}", "es", "pred", "casa", "Casa gran") for i in range(40)], "record string, language string, kind string, source string, target string")
+    benign = perturb.benign_variation(parts, ["language", "kind"], "source", "target", "record")
+    forms = {r[0] for r in benign.select(text.normalize_label(F.col("target"))).collect()}
+    assert forms == {"casa gran"} and benign.where("changed").count() > 0 == perturb.benign_variation(parts, ["language", "kind"], "source", "target", "record", share=0.0).where("changed").count()
+
+
+def test_full_labels_group_mappings(spark):
+    """HTML names, full-width letters, decomposed accents and case folding make one form, without asking for it."""
+    data = [("r1", "es", ["AT&amp;T | p | Straße"], ["Ａｂｃ | p | cafe\u0301"], 1), ("r2", "es", ["at&t | p | STRASSE"], ["abc | p | Café"], 1)]
+    entries = spark.createDataFrame(data, "record_key string, language string, source_triples array<string>, target_triples array<string>, expected_triple_count int")
+    found = mapping.mapping_profile(mapping.component_rows(entries, "record_key", "language"), ["language", "component_type", "source_normalized"], "target_normalized").collect()
+    assert {(r.source_normalized, r.occurrences, r.target_form_count, r.dominant_target_form) for r in found} == {("at&t", 2, 1, "abc"), ("strasse", 2, 1, "café"), ("p", 2, 1, "p")}
+    kept = spark.createDataFrame([(["a | birth&#80;lace | b"], ["x | birthPlace | y"])], "s array<string>, t array<string>")
+    assert kept.select(preservation.alignment_valid(F.col("s"), F.col("t")), preservation.identical_predicate(F.col("s"), F.col("t"))).first()[0]
+
+
 def test_registry(spark):
     frame = spark.createDataFrame([("k", datetime(2024, 1, 1), "a"), ("k", datetime(2024, 2, 1), "b"), ("k", None, "c")], "k string, t timestamp, v string")
     assert rows(registry.latest_per_key(frame, ["k"], "t", "v")) == [("k", datetime(2024, 2, 1), "b")]

@@ -280,12 +280,17 @@ class AbuseModel:
         seed_y = np.zeros((len(seed_rows), len(KINDS)))
         known = np.array(kinds)[cut.sentence_text]
         seed_y[known >= 0, known[known >= 0]] = 1
-        found = sentences([t for t, _ in labelled])
-        bags = found.sentence_text
+        bag_parts, doc_rows = [np.zeros(0, np.int64)], []
+        whole = [t for t, _ in labelled]
+        for low, high in chunks(whole, 300_000):  # the passes over characters need little memory
+            found = sentences(whole[low:high])
+            bag_parts.append(found.sentence_text + low)
+            doc_rows += _rows(found)
+        bags = np.concatenate(bag_parts)
         # how many raters say so, and whether any does; raters who disagree make half a label
         share = np.array([[sum(k in rater for rater in raters) / max(1, len(raters)) for k in KINDS] for _, raters in labelled]).reshape(-1, len(KINDS))
         plain = np.array([all(set(rater) <= {"none"} for rater in raters) for _, raters in labelled], bool)
-        rows = Rows(seed_rows + _rows(found))
+        rows = Rows(seed_rows + doc_rows)
         names, dense = np.unique(rows.flat, return_inverse=True)
         rows.flat = dense
         rated = np.array([bool(raters) for _, raters in labelled], bool)

@@ -237,7 +237,8 @@ def _emissions(batch: Batch, lexicon: Lexicon) -> Emissions:
                 weight = -np.log(ground) * np.where(several, 0.3, 1.0)
                 told = value > 0.04
                 explained = np.bincount((r * width + i)[told], weight[o[told]], minlength=here * width).reshape(here, width)
-                explained /= np.maximum(np.bincount(row, weight, minlength=here), 1e-9)[:, None]
+                # not in place: without any match bincount gives integers
+                explained = explained / np.maximum(np.bincount(row, weight, minlength=here), 1e-9)[:, None]
         out.null[begin:end] = null
         if beam == width:
             out.score[begin:end], out.shared[begin:end], out.explained[begin:end] = score, shared, explained

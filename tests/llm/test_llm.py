@@ -189,6 +189,19 @@ def test_value_that_came_out_differently():
     assert first.tolist() == [0, 2, 1] and gain.min() > 0
 
 
+def test_alignment_without_a_word_in_common(spark):
+    """Pairs of which no word explains another, or without words, have no rows and do not stop the others."""
+    none = np.zeros(0, np.uint64)
+    lexicon = sentence_align.Lexicon(none, none, np.zeros(0), (none, np.zeros(0)))
+    for source, target in (("Alpha beta gamma.", "Uno dos tres."), ("Alpha beta.", "¡¿!?"), ("...", "Uno dos."), ("... A b.", "... C d.")):
+        first, _, gain = sentence_align.decode(sentence_align.Batch.of([source], [target]), lexicon)
+        assert (first == -1).all() and not gain.any()
+    # what the first pair leaves over on both sides has no word in common
+    data = [("a", "Pau Serra was born in Lima Vella. Alpha beta gamma.", "Pau Serra nació en Lima Vella. Uno dos tres."), ("b", "Delta.", "Cuatro.")]
+    frame = spark.createDataFrame(data, "id string, source string, target string")
+    assert [t[:3] for t in rows(sentence_align.align(frame, sentence_align.learn_all(frame)))] == [("a", 1, 1)]
+
+
 def test_long_pair_in_a_beam():
     """More clauses than the beam: states of a clause are bounded, and no pair of sentences is lost."""
     n = 900

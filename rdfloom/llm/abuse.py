@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,9 @@ PLAIN_WEIGHT = 1.0
 #: sentences for which the second part alone is beyond such a bound, a document without label those beyond the first,
 #: and those that score so much.
 LEAST_DIFFERENCE, UNSURE = 0.25, 0.5
+#: Of the labelled documents with a feature that tells a kind, about this share has the kind as label; the others are wrong
+#: labels and mentions.
+TELLING = 0.75
 
 #: Labelled documents are held out in so many parts for the thresholds, which lie in this range and are the
 #: middle one where fewer than the last number of held-out documents have the kind.
@@ -301,7 +305,7 @@ class AbuseModel:
         if len(labelled):
             part = rng.integers(FOLDS, size=len(labelled))
             for f in range(FOLDS if ((share > 0).sum(0) >= FEW).any() else 0):
-                held[part == f] = fit.documents(fit.run(part != f, 1))[part == f]
+                held[part == f] = fit.documents(fit.run(part != f))[part == f]
             thresholds = np.array([_threshold(held[rated, k], share[rated, k]) if (share[:, k] > 0).sum() >= FEW else MIDDLE for k in range(len(KINDS))])
         weights = learner.weights(slice(None)).astype(np.float32)
         kept = weights.any(1)
@@ -331,7 +335,7 @@ class _Fit:
         self.rows, self.width, self.seed_y, self.bags, self.share, self.plain, self.rated, self.rng = rows, width, seed_y, bags, share, plain, rated, rng
         self.base = len(seed_y)
         # one sentence that many documents hold is one row to learn
-        content = np.array([hash(rows.flat[a:b].tobytes()) for a, b in zip(rows.first[self.base : -1], rows.first[self.base + 1 :], strict=True)], np.int64)
+        content = np.array([int.from_bytes(blake2b(rows.flat[a:b].tobytes(), digest_size=7).digest()) for a, b in zip(rows.first[self.base : -1], rows.first[self.base + 1 :], strict=True)], np.int64)
         _, self.same = np.unique(content, return_inverse=True)
         self.flat, self.own = rows.take(np.arange(self.base, len(rows.size)))
         key = distinct(bags[self.own].astype(np.uint64) * np.uint64(width) + self.flat.astype(np.uint64))
@@ -363,20 +367,30 @@ class _Fit:
         return out
 
     def support(self, used: np.ndarray) -> np.ndarray:
-        """Of every sentence and kind: the mean of its three best features' logarithmic likelihood ratios, the own document aside."""
+        """Of every sentence and kind: the mean of its three best features' logarithmic likelihood ratios, the own document aside.
+
+        A feature's is the lesser of two: how much more often documents of the kind have it than plain ones, and how much
+        likelier the labels of the documents with it are if it tells the kind than if it is as mixed as all documents.
+        """
         flat, own, b, f = self.flat, self.own, self.pair_bag, self.pair_feature
         bag, first = self.bags[own], self.rows.first[self.base : -1] - self.rows.first[self.base]
         calm = self.plain & used
-        less = np.bincount(f, calm[b], minlength=self.width)
+        less = np.bincount(f, calm[b], minlength=self.width)[flat]
         out = np.zeros((len(self.bags), len(KINDS)))
         for k in range(len(KINDS)):
             mine = (self.share[:, k] > 0) & used
             often = np.bincount(f, mine[b], minlength=self.width)[flat] - mine[bag]
             at = np.flatnonzero(often > 0)
-            expected = (less[flat[at]] + 0.5) / (calm.sum() + 1) * max(1, mine.sum() - 1)
+            expected = (less[at] + 0.5) / (calm.sum() + 1) * max(1, mine.sum() - 1)
             ratio = often[at] * np.log(often[at] / expected) - (often[at] - expected)
+            # what only comes more often with the kind has other labels in most documents; those without label say nothing
+            other = self.rated & used & ~mine
+            against = np.bincount(f, other[b], minlength=self.width)[flat] - other[bag]
+            usual = (mine.sum() + 1) / (mine.sum() + other.sum() + 2)
+            telling = max(TELLING, (1 + usual) / 2)
+            mostly = often[at] * np.log(telling / usual) + against[at] * np.log((1 - telling) / (1 - usual))
             rate = np.zeros(len(flat))
-            rate[at] = np.where(often[at] > expected, ratio, 0.0)
+            rate[at] = np.where(often[at] > expected, np.maximum(np.minimum(ratio, mostly), 0.0), 0.0)
             for _ in range(3):  # the best, the second and the third
                 top = np.maximum.reduceat(rate, first)
                 out[:, k] += top / 3
@@ -384,6 +398,14 @@ class _Fit:
                 rate[hit[np.concatenate([[True], own[hit[1:]] != own[hit[:-1]]])] if len(hit) else hit] = 0.0
         return out
 
+    def settled(self, used: np.ndarray) -> np.ndarray:
+        """Whether a sentence and kind are settled as plain: several documents with the sentence are rated plain, and fewer are of the kind."""
+        _, one = np.unique(self.bags * (self.same.max(initial=0) + 1) + self.same, return_index=True)
+        same, bag = self.same[one], self.bags[one]
+        calm = np.bincount(same, (self.plain & self.rated & used)[bag])
+        mine = np.stack([np.bincount(same, ((self.share[:, k] > 0) & used)[bag]) for k in range(len(KINDS))], 1)
+        return ((calm >= 2)[:, None] & (calm[:, None] > mine))[self.same]
+
     def bounds(self, value: np.ndarray, used: np.ndarray) -> np.ndarray:
         """The value of each kind from which on the best sentences are of the kind; a sentence of many plain documents counts in one."""
         once = np.unique(self.same, return_index=True)[1]
@@ -410,7 +432,7 @@ class _Fit:
         ones, learner = np.ones(self.base), self.first
         if not len(self.bags):
             return learner
-        support = self.support(used)
+        support, settled = self.support(used), self.settled(used)
         calm = np.flatnonzero((self.plain & used)[self.bags])
         calm = calm[np.unique(self.same[calm], return_index=True)[1]]
         for _ in range(rounds):
@@ -418,12 +440,12 @@ class _Fit:
             value = np.log(p + 1e-9) - np.log(1 - p + 1e-9) + support
             least, own_least = np.maximum(self.bounds(value, used), 0.0), self.bounds(support, used)
             at, y, weight = [np.arange(self.base)], [self.seed_y], [ones]
-            plain = calm[np.where(self.rated[self.bags[calm], None], support[calm] <= own_least, (value[calm] <= least) & (p[calm] < UNSURE)).all(1)]
+            plain = calm[np.where(self.rated[self.bags[calm], None], (support[calm] <= own_least) | settled[calm], (value[calm] <= least) & (p[calm] < UNSURE)).all(1)]
             at.append(self.base + plain)
             y.append(np.zeros((len(plain), len(KINDS))))
             weight.append(np.full(len(plain), PLAIN_WEIGHT))
             for k in range(len(KINDS)):
-                inside = np.flatnonzero(((self.share[:, k] > 0) & used)[self.bags])
+                inside = np.flatnonzero(((self.share[:, k] > 0) & used)[self.bags] & ~settled[:, k])
                 if not len(inside):
                     continue
                 order = inside[np.lexsort((-value[inside, k], self.bags[inside]))]

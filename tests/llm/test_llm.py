@@ -450,6 +450,28 @@ def test_abuse_learned_from_labels(spark):
     assert len(found & truth) >= 0.9 * len(truth) and len(found & truth) >= 0.95 * len(found)
 
 
+def test_abuse_keeps_common_sentences_plain():
+    """Plain sentences that forum texts share come more often with a kind, but mostly without; one label in eight is wrong."""
+    r = np.random.default_rng(5)
+    common = ["Does anybody object to the second spelling, or shall we keep it?", "Nadie ha abierto todavía la carpeta de los mapas.", "Gràcies a tothom pels suggeriments de dimarts."]
+    name = lambda: "".join(r.choice(list("bdklmnrst"), 3)).capitalize() + "a" + "".join(r.choice(list("aeiou"), 2))
+    texts, kinds = [], []
+    for _ in range(3_000):
+        kind = str(r.choice(["", *abuse.KINDS], p=[0.85, 0.05, 0.05, 0.05]))
+        parts = [f"{name()} was built in {r.integers(1500, 1990)} and is {r.integers(2, 90)} metres high.", f"{name()} lies by the river {name()}."]
+        parts += [s for s in common if r.random() < (0.25 if kind else 0.1)]
+        if kind:
+            parts.append(WORDINGS[kind][int(r.integers(2))].format(name()))
+        texts.append(" ".join(parts))
+        kinds.append(kind)
+    said = [str(r.choice(["none", *abuse.KINDS])) if r.random() < 1 / 8 else k or "none" for k in kinds[:2_000]]
+    fitted = abuse.AbuseModel.fit([(t, [[k]]) for t, k in zip(texts, said, strict=False)])
+    assert (fitted.scores(common) < fitted.thresholds).all()
+    found = fitted.scores(texts[2_000:]) >= fitted.thresholds
+    truth = np.array([[k == kind for k in abuse.KINDS] for kind in kinds[2_000:]])
+    assert (found & truth).sum() >= 0.95 * truth.sum() and (found & truth).sum() >= 0.95 * found.sum()
+
+
 def test_abuse(spark):
     fitted = abuse.AbuseModel.fit([("A calm note about the bridge and its keeper.", [["none"]])] * 5 + [("The tower was built in 1950 and is 30 metres high.", [])])
     data = [(1, "Nice work. You are a stupid idiot and everyone hates you.", "a"), (2, "Foreigners are parasites and should be deported.", "a"), (3, "She was naked and begged him to fuck her.", "b"), (4, "Insults and threats are not allowed here.", "b"),
